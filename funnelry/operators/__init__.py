@@ -1,0 +1 @@
+"""DataFrame -> DataFrame building blocks."""

@@ -1,0 +1 @@
+"""Complete reports put together from the operators."""

@@ -1,0 +1 @@
+"""Reading raw files and given tables, storing the event table."""
