@@ -31,7 +31,7 @@ def converters(events: DataFrame) -> DataFrame:
     Only views and purchases can matter, so the filter goes ahead of the aggregate and down to
     the scan.
     """
-    return _valid(first_times(events.where(did_any(VIEW, PURCHASE))))
+    return valid_converters(first_times(events.where(did_any(VIEW, PURCHASE))))
 
 
 def session_converters(events: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def session_converters(events: DataFrame) -> DataFrame:
         F.min(FIRST_PURCHASE).alias(FIRST_PURCHASE),
         F.max(both).alias("same_session"),
     )
-    return _valid(per_user)
+    return valid_converters(per_user)
 
 
 def same_session_users(events: DataFrame) -> DataFrame:
@@ -72,6 +72,7 @@ def conversion_kind() -> Column:
     )
 
 
-def _valid(users: DataFrame) -> DataFrame:
+def valid_converters(users: DataFrame) -> DataFrame:
+    """Users with both first times in the right order, and the delay between them (FLT-3)."""
     delay = F.col(FIRST_PURCHASE) - F.col(FIRST_VIEW)
     return users.where(delay >= 0).withColumn("delay", delay)

@@ -84,13 +84,19 @@ def funnel_by_price_quartile(
 
 def events_per_session(events: DataFrame) -> DataFrame:
     """Q-5: how many events a session has."""
-    sizes = session_sizes(events)
+    return session_size_histogram(session_sizes(events))
+
+
+def session_size_histogram(sizes: DataFrame) -> DataFrame:
     return histogram(sizes, "n_events", fv.EVENTS_PER_SESSION, "events_bucket", "sessions")
 
 
 def session_duration(events: DataFrame) -> DataFrame:
     """Q-6: seconds from a session's first to its last event."""
-    spans = session_spans(events)
+    return session_span_histogram(session_spans(events))
+
+
+def session_span_histogram(spans: DataFrame) -> DataFrame:
     return histogram(spans, "duration_sec", fv.SESSION_DURATION, "duration_bucket", "sessions")
 
 
@@ -102,9 +108,12 @@ def lag_event_gaps(events: DataFrame) -> DataFrame:
 
 def time_to_convert(events: DataFrame) -> DataFrame:
     """Q-8: converting users by kind of conversion, with the mean delay in hours."""
+    return conversion_kinds(timing.session_converters(events))
+
+
+def conversion_kinds(users: DataFrame) -> DataFrame:
     return (
-        timing.session_converters(events)
-        .groupBy(timing.conversion_kind().alias("convert_bucket"))
+        users.groupBy(timing.conversion_kind().alias("convert_bucket"))
         .agg(F.count(F.lit(1)).alias("users"), F.avg("delay").alias("mean"))
         .select(
             "convert_bucket",
@@ -117,7 +126,10 @@ def time_to_convert(events: DataFrame) -> DataFrame:
 
 def time_to_convert_distribution(events: DataFrame) -> DataFrame:
     """Q-9: the delays of converting users."""
-    users = timing.converters(events)
+    return delay_histogram(timing.converters(events))
+
+
+def delay_histogram(users: DataFrame) -> DataFrame:
     return histogram(users, "delay", fv.CONVERSION_DELAY, "delay_bucket", "users")
 
 

@@ -9,11 +9,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from funnelry.fixed_values import CART, PURCHASE, VIEW
 from funnelry.functions.times import display_time
 from funnelry.schema import EVENT_COLUMNS
 
+SOURCE_SCHEMA = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("props", T.StringType()),
+    ]
+)
+
 # --- fixed values: how source columns become labels (position = remainder) --------------
 CATEGORIES = (
     None, "", "electronics.smartphone", "electronics.audio.headphone", "apparel.shoes",
@@ -29,7 +41,7 @@ DOUBLED, DOUBLED_REST = 200, 7
 
 def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of the given events as a shop event, with some rows recorded twice."""
-    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    source = spark.read.schema(SOURCE_SCHEMA).parquet(f"{sf_dir}/events.parquet")
     eid, k, day = F.col("event_id"), F.col("k"), F.col("day")
     kind = F.col("source_type")
     rows = source.select(
@@ -44,7 +56,8 @@ def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     ).withColumn("user_id", F.col("source_user") * 10 + F.floor((day - 1) / 10))
     rare = k < RARE_ACTION_BELOW
-    times = F.when(eid % DOUBLED == DOUBLED_REST, 2).otherwise(1)
+    once, twice = F.array(F.lit(1)), F.array(F.lit(1), F.lit(2))
+    copies = F.when(eid % DOUBLED == DOUBLED_REST, twice).otherwise(once)
     return rows.select(
         "event_id",
         display_time(F.col("event_ts")).alias("event_time"),
@@ -64,7 +77,7 @@ def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("price"),
         "user_id",
         F.concat(F.col("user_id").cast("string"), F.lit("-"), day.cast("string")).alias("user_session"),
-        F.explode(F.sequence(F.lit(1), times)).alias("copy"),
+        F.explode(copies).alias("copy"),
     ).select("event_id", *EVENT_COLUMNS)
 
 

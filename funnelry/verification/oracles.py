@@ -411,6 +411,12 @@ UNION ALL SELECT 'per session', {_without_view("user_session")}"""
         ),
         "significant_segments": _significant(),
     }
+    for name in (
+        "funnel_user", "funnel_session", "events_per_session", "session_duration",
+        "time_to_convert", "time_to_convert_distribution", "abandonment_overall",
+        "dataset_summary",
+    ):
+        found[f"rollup_{name}"] = found[name]
     for split in SPLIT_SEGMENTS:
         found[f"segment_rate_series_{split}"] = _rate_series(split)
         for key in STEP_TRIALS:

@@ -20,7 +20,7 @@ from funnelry.functions.times import display_time
 from funnelry.operators import gaps, quality, timing
 from funnelry.operators.funnel import stage_flags
 from funnelry.operators.ntile import ntile
-from funnelry.plans import inference, reports
+from funnelry.plans import inference, reports, rollup
 from funnelry.sources.csv_events import calibration, normalise
 from funnelry.sources.driver_events import clickstream
 from funnelry.sources.event_table import load_report
@@ -166,6 +166,8 @@ def _over_events() -> dict[str, Callable[[DataFrame], DataFrame]]:
         "abandonment_rates": lambda e: _intervals(inference.abandonment_rates(e)),
         "significant_segments": lambda e: inference.significant_segments(e, TIEBREAK),
     }
+    for name, report in rollup.ROLLUP_REPORTS.items():
+        found[f"rollup_{name}"] = lambda e, report=report: report(rollup.session_rollup(e))
     for split in SPLITS:
         found[f"segment_rate_series_{split}"] = lambda e, split=split: _series(e, split)
         for key, step in STEP_KEYS.items():
