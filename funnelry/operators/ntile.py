@@ -54,21 +54,25 @@ class Border:
 
 @dataclass(frozen=True)
 class _Span:
-    """Rows with `fixed` leading key values and the next column in [low, high]."""
+    """Rows with the `fixed` leading key values and the next column within `ends[0]`.
+
+    `ends` holds (low, high) per remaining column, None where not looked at yet.
+    """
 
     fixed: tuple[Any, ...]
-    lows: tuple[Any, ...]
-    highs: tuple[Any, ...]
+    ends: tuple[tuple[Any, Any] | None, ...]
     before: int
     rows: int
 
+    @property
+    def is_key(self) -> bool:
+        return not self.ends
+
     def narrowed(self) -> _Span:
         """Moves leading columns that have a single value left into `fixed`."""
         span = self
-        while span.lows and span.lows[0] == span.highs[0]:
-            span = replace(
-                span, fixed=(*span.fixed, span.lows[0]), lows=span.lows[1:], highs=span.highs[1:]
-            )
+        while span.ends and span.ends[0] and span.ends[0][0] == span.ends[0][1]:
+            span = replace(span, fixed=(*span.fixed, span.ends[0][0]), ends=span.ends[1:])
         return span
 
 
@@ -80,18 +84,18 @@ def tile_borders(
     `order_by` names numeric columns without NULLs.
     """
     keys = df.select(*order_by)
-    total, lows, highs = _extent(keys, order_by)
+    everything = _Span((), (None,) * len(order_by), 0, 0)
+    found = _narrow(keys, order_by, [everything])[everything]
+    total = sum(s.rows for s in found)
     ranks = [r for r in _first_ranks(total, tiles) if r < total]
-    spans = {r: _Span((), lows, highs, 0, total).narrowed() for r in ranks}
-    while wide := {s for s in spans.values() if s.lows and s.rows > small}:
-        found = _narrow(keys, order_by, sorted(wide, key=lambda s: s.before))
+    spans = {r: found[0] for r in ranks}
+    while wide := {s for s in spans.values() if s.rows > small and not s.is_key}:
+        parts = _narrow(keys, order_by, sorted(wide, key=lambda s: s.before))
         for rank, span in spans.items():
             if span in wide:
-                spans[rank] = next(s for s in found[span] if rank < s.before + s.rows)
-    borders = {
-        r: Border(s.fixed, r, s.before, s.rows) for r, s in spans.items() if not s.lows
-    }
-    open_spans = {r: s for r, s in spans.items() if s.lows}
+                spans[rank] = next(s for s in parts[span] if rank < s.before + s.rows)
+    borders = {r: Border(s.fixed, r, s.before, s.rows) for r, s in spans.items() if s.is_key}
+    open_spans = {r: s for r, s in spans.items() if not s.is_key}
     if open_spans:
         borders.update(_rank_directly(keys, order_by, open_spans))
     return [borders[r] for r in ranks]
@@ -146,35 +150,38 @@ def _first_ranks(total: int, tiles: int) -> list[int]:
     return [i * size + min(i, larger) for i in range(1, tiles)]
 
 
-def _extent(keys: DataFrame, order_by: Sequence[str]) -> tuple[int, tuple, tuple]:
-    ends = [f(c) for c in order_by for f in (F.min, F.max)]
-    total, *found = keys.agg(F.count(F.lit(1)), *ends).first()
-    return total, tuple(found[::2]), tuple(found[1::2])
-
-
 def _narrow(
     keys: DataFrame, order_by: Sequence[str], spans: Sequence[_Span]
 ) -> dict[_Span, list[_Span]]:
-    """Splits each span into up to RANGES by its next column: one aggregate over all of them."""
+    """Splits each span into up to RANGES by its next column: one aggregate over all of them.
+
+    Reads the columns fixed so far, the next one and the one after it, no others.
+    """
+    done = {s: len(s.fixed) for s in spans}
+    looked_at = {c for n in done.values() for c in order_by[n : n + 2]}
     which = part = None
     for i, s in enumerate(spans):
-        inside, place = _inside(order_by, s), _place(F.col(order_by[len(s.fixed)]), s)
+        inside, place = _inside(order_by, s), _place(F.col(order_by[done[s]]), s)
         which = F.when(inside, i) if which is None else which.when(inside, i)
         part = F.when(inside, place) if part is None else part.when(inside, place)
-    ends = [f(c) for c in order_by for f in (F.min, F.max)]
+    ends = [f(c).alias(f"{n} {c}") for c in looked_at for n, f in (("low", F.min), ("high", F.max))]
     counted = (
         keys.select("*", which.alias("_span"), part.alias("_part"))
         .where(F.col("_span").isNotNull())
         .groupBy("_span", "_part")
-        .agg(F.count(F.lit(1)), *ends)
+        .agg(F.count(F.lit(1)).alias("_rows"), *ends)
         .collect()  # at most RANGES rows per span
     )
     result: dict[_Span, list[_Span]] = {s: [] for s in spans}
-    for i, _, rows, *found in sorted(counted, key=lambda r: (r[0], r[1])):
-        s, done = spans[i], len(spans[i].fixed)
-        before = result[s][-1].before + result[s][-1].rows if result[s] else s.before
-        lows, highs = tuple(found[::2])[done:], tuple(found[1::2])[done:]
-        result[s].append(_Span(s.fixed, lows, highs, before, rows).narrowed())
+    for row in sorted(counted, key=lambda r: (r["_span"], r["_part"])):
+        span = spans[row["_span"]]
+        parts = result[span]
+        before = parts[-1].before + parts[-1].rows if parts else span.before
+        known = tuple(
+            (row[f"low {c}"], row[f"high {c}"]) if c in looked_at else None
+            for c in order_by[done[span] :]
+        )
+        parts.append(_Span(span.fixed, known, before, row["_rows"]).narrowed())
     return result
 
 
@@ -211,16 +218,28 @@ def _rank_directly(
 
 
 def _inside(order_by: Sequence[str], span: _Span) -> Column:
-    column = F.col(order_by[len(span.fixed)])
-    ends = column.between(F.lit(span.lows[0]), F.lit(span.highs[0]))
-    return _equal(order_by, span.fixed) & ends if span.fixed else ends
+    conditions = [_equal(order_by, span.fixed)] if span.fixed else []
+    if span.ends and span.ends[0]:
+        low, high = (F.lit(v) for v in span.ends[0])
+        conditions.append(F.col(order_by[len(span.fixed)]).between(low, high))
+    return reduce(and_, conditions) if conditions else F.lit(True)
 
 
 def _place(column: Column, span: _Span) -> Column:
-    """Which of RANGES equal parts of [low, high] a value is in; never decreasing in the value."""
-    low, high = span.lows[0], span.highs[0]
+    """Which of RANGES equal parts of [low, high] a value is in; never decreasing in the value.
+
+    Lowest and highest value always land in different parts, so every pass makes progress.
+    """
+    if not span.ends[0]:
+        return F.lit(0)
+    low, high = span.ends[0]
     if isinstance(low, float):
-        offset, width = column - F.lit(low), (min(high, sys.float_info.max) - low) or 1.0
+        scale = 0.25  # keeps the width of the widest range finite
+        top = min(high, sys.float_info.max)
+        if top - low < sys.float_info.max:
+            scale = 1.0
+        offset = column * F.lit(scale) - F.lit(low * scale)
+        width = (top * scale - low * scale) or 1.0
     elif high - low < 2**62:
         offset, width = column - F.lit(low), float(high - low)
     else:
