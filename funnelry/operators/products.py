@@ -14,15 +14,28 @@ def product_carts(events: DataFrame) -> DataFrame:
     """Counts events, not users, so purchases per cart add may exceed 1.
 
     The mean price ignores missing prices but keeps non-positive ones.
+
+    Counting is done per product and its labels first. Numbers alone aggregate by hash in the map
+    tasks; the largest label, being text, needs a sort, which then sees one row per product and
+    label instead of every event.
     """
+    price = F.nanvl("price", F.lit(None).cast("double"))
+    labelled = events.groupBy(
+        "product_id", brand_label().alias("brand"), category_label().alias("category_code")
+    ).agg(
+        F.sum(price).alias("price_sum"),
+        F.count(price).alias("prices"),
+        ones(did(CART)).alias("cart_adds"),
+        ones(did(PURCHASE)).alias("purchases"),
+    )
     return (
-        events.groupBy("product_id")
+        labelled.groupBy("product_id")
         .agg(
-            F.max(brand_label()).alias("brand"),
-            F.max(category_label()).alias("category_code"),
-            F.avg(F.nanvl("price", F.lit(None).cast("double"))).alias("mean_price"),
-            ones(did(CART)).alias("cart_adds"),
-            ones(did(PURCHASE)).alias("purchases"),
+            F.max("brand").alias("brand"),
+            F.max("category_code").alias("category_code"),
+            ratio(F.sum("price_sum"), F.sum("prices")).alias("mean_price"),
+            F.sum("cart_adds").alias("cart_adds"),
+            F.sum("purchases").alias("purchases"),
         )
         .select(
             "product_id",

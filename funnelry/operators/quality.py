@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,14 +91,22 @@ def metrics(df: DataFrame, rows: Sequence[tuple[str, str, str | None]]) -> DataF
 def distinct_counts(events: DataFrame, approximate: bool = False) -> DataFrame:
     """One row: events, users, sessions, first and last event time as text.
 
-    Exact by default. `approximate` trades about 5% error for a sketch that never shuffles
-    the ids.
+    Exact by default: each distinct count is an aggregate of its own over one column. In a single
+    aggregate Spark would copy every row per count and, for the text extremes, sort them all.
+    `approximate` trades about 5% error for sketches that never shuffle the ids.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    return events.agg(
+    extent = [
         F.count(F.lit(1)).alias("events"),
-        distinct("user_id").alias("users"),
-        distinct("user_session").alias("sessions"),
         F.min("event_time").alias("first_event"),
         F.max("event_time").alias("last_event"),
-    )
+    ]
+    names = {"users": "user_id", "sessions": "user_session"}
+    order = ["events", "users", "sessions", "first_event", "last_event"]
+    if approximate:
+        counts = [F.approx_count_distinct(c).alias(name) for name, c in names.items()]
+        return events.agg(*extent, *counts).select(*order)
+    parts = [events.agg(*extent)]
+    parts += [events.agg(F.count_distinct(c).alias(name)) for name, c in names.items()]
+    # Three rows with a value each; the others of a column are NULL.
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return together.agg(*(F.max(c).alias(c) for c in order))

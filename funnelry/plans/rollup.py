@@ -29,8 +29,6 @@ def session_rollup(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_events"),
         F.min("event_ts").alias("first_ts"),
         F.max("event_ts").alias("last_ts"),
-        F.min("event_time").alias("first_time"),
-        F.max("event_time").alias("last_time"),
         *(F.max(did(kind)).alias(flag) for flag, kind in STAGES.items()),
         F.min(only_if(fv.VIEW, "event_ts")).alias(FIRST_VIEW),
         F.min(only_if(fv.PURCHASE, "event_ts")).alias(FIRST_PURCHASE),
@@ -108,16 +106,6 @@ def abandonment_overall(rollup: DataFrame) -> DataFrame:
     )
 
 
-def dataset_summary(rollup: DataFrame) -> DataFrame:
-    return rollup.agg(
-        F.coalesce(F.sum("n_events"), F.lit(0)).alias("events"),
-        F.count_distinct("user_id").alias("users"),
-        F.count_distinct("user_session").alias("sessions"),
-        F.min("first_time").alias("first_event"),
-        F.max("last_time").alias("last_event"),
-    )
-
-
 ROLLUP_REPORTS = {
     f.__name__: f
     for f in (
@@ -128,6 +116,5 @@ ROLLUP_REPORTS = {
         time_to_convert,
         time_to_convert_distribution,
         abandonment_overall,
-        dataset_summary,
     )
 }

@@ -414,7 +414,6 @@ UNION ALL SELECT 'per session', {_without_view("user_session")}"""
     for name in (
         "funnel_user", "funnel_session", "events_per_session", "session_duration",
         "time_to_convert", "time_to_convert_distribution", "abandonment_overall",
-        "dataset_summary",
     ):
         found[f"rollup_{name}"] = found[name]
     for split in SPLIT_SEGMENTS:

@@ -1,0 +1,218 @@
+"""Intervals, tests and verdicts (STAT-1..13)."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from funnelry import fixed_values as fv
+from funnelry.functions.inference import chi2_p, two_proportion_z, two_sided_p, wilson_interval
+from funnelry.operators import segments as seg
+
+
+def near(value, digits=8):
+    return pytest.approx(value, abs=10**-digits, rel=10**-digits)
+
+
+def one(spark, *columns):
+    return tuple(spark.range(1).select(*columns).first())
+
+
+@pytest.mark.parametrize(
+    "k, n, low, high",
+    [
+        (2603, 4981, 0.50870248, 0.53643436),
+        (4981, 22081, 0.22011371, 0.23113886),
+        (0, 0, 0.0, 0.0),
+        (0, 10, 0.0, 0.27753280),
+        (10, 10, 0.72246720, 1.0),
+    ],
+)
+def test_wilson(spark, k, n, low, high):
+    found = one(spark, *wilson_interval(F.lit(k), F.lit(n)))
+    assert found == (near(low), near(high))
+    assert 0.0 <= found[0] <= found[1] <= 1.0
+
+
+def test_wilson_at_another_level(spark):
+    low, high = one(spark, *wilson_interval(F.lit(5), F.lit(10), alpha=0.01))
+    assert low < 0.2366 < high and high - low > 0.55
+
+
+def test_wilson_of_nothing_known(spark):
+    nothing = F.lit(None).cast("bigint")
+    assert one(spark, *wilson_interval(nothing, nothing)) == (None, None)
+
+
+@pytest.mark.parametrize(
+    "z, p",
+    [
+        (1.959963984540054, 0.05),
+        (-2.807033768343811, 0.005),
+        (0.0, 1.0),
+        (10.0, 1.5239706048321052e-23),
+        (None, None),
+    ],
+)
+def test_normal_tail(spark, z, p):
+    (found,) = one(spark, two_sided_p(F.lit(z).cast("double")))
+    assert found == (None if p is None else pytest.approx(p, rel=1e-9))
+
+
+@pytest.mark.parametrize(
+    "x, df, p",
+    [
+        (926.3, 9, 1.331e-193),
+        (10.5, 3, 0.0147609),
+        (3.841458820694124, 1, 0.05),
+        (5.991464547107979, 2, 0.05),
+        (16.918977604620448, 9, 0.05),
+        (0.0, 4, 1.0),
+        (None, 4, None),
+        (1.0, None, None),
+    ],
+)
+def test_chi_square_tail(spark, x, df, p):
+    (found,) = one(spark, chi2_p(F.lit(x).cast("double"), F.lit(df).cast("bigint")))
+    assert found == (None if p is None else pytest.approx(p, rel=1e-3, abs=1e-200))
+
+
+def test_chi_square_tail_for_very_many_segments(spark):
+    (found,) = one(spark, chi2_p(F.lit(1e6), F.lit(1_000_000)))
+    assert found == pytest.approx(0.4998, abs=1e-3)
+
+
+@pytest.mark.parametrize("k1, n1, k2, n2", [(1, 2, 0, 0), (0, 0, 1, 2), (0, 5, 0, 5), (5, 5, 5, 5)])
+def test_z_is_undefined_without_variance(spark, k1, n1, k2, n2):
+    (z,) = one(spark, two_proportion_z(*(F.lit(v) for v in (k1, n1, k2, n2))))
+    assert z is None
+
+
+def test_z_by_hand(spark):
+    (z,) = one(spark, two_proportion_z(*(F.lit(v) for v in (30, 100, 20, 100))))
+    assert z == near(0.1 / math.sqrt(0.25 * 0.75 * 0.02))
+
+
+@pytest.fixture
+def trials(spark):
+    def build(*counts, step="s"):
+        rows = [(f"g{i}", i, step, k, n) for i, (k, n) in enumerate(counts)]
+        return spark.createDataFrame(rows, "segment string, position bigint, step string, k bigint, n bigint")
+
+    return build
+
+
+def chi(trials):
+    return seg.homogeneity(trials).first().asDict()
+
+
+def test_homogeneity_by_hand(trials):
+    found = chi(trials((10, 100), (20, 100), (30, 100)))
+    assert (found["chi2"], found["df"]) == (near(12.5), 2)
+    assert found["p_value"] == near(math.exp(-6.25))
+    assert (found["valid"], found["differs"], found["approximate"]) == (True, True, False)
+
+
+def test_two_segments_are_corrected(trials):
+    found = chi(trials((10, 100), (20, 100)))
+    assert found["chi2"] == near(4.5 * 4.5 * (2 / 15 + 2 / 85))
+    assert found["df"] == 1
+
+
+def test_correction_stops_at_zero(trials):
+    assert chi(trials((10, 20), (10, 20)))["chi2"] == 0.0
+
+
+def test_empty_segments_are_left_out(trials):
+    with_empty, without = trials((10, 100), (0, 0), (20, 100)), trials((10, 100), (20, 100))
+    assert chi(with_empty) == chi(without)
+
+
+@pytest.mark.parametrize(
+    "counts", [[(1, 5)], [(0, 5), (0, 7)], [(5, 5), (7, 7)], [(1, 5), (0, 0)], [(0, 0), (0, 0)]]
+)
+def test_homogeneity_undefined(trials, counts):
+    found = chi(trials(*counts))
+    assert (found["chi2"], found["df"], found["p_value"]) == (None, None, None)
+    assert (found["valid"], found["differs"], found["approximate"]) == (False, False, False)
+
+
+def test_small_expected_counts_keep_their_p_value(trials):
+    found = chi(trials((1, 8), (4, 9), (2, 9)))
+    assert found["p_value"] is not None
+    assert (found["valid"], found["approximate"]) == (False, True)
+
+
+def test_against_the_rest(trials):
+    a, b = seg.versus_rest(trials((30, 100), (20, 100))).orderBy("position").collect()
+    assert (a.rate, a.rate_vs_rest, a.n_tests, a.bonferroni_alpha) == (0.3, near(0.1), 2, 0.025)
+    assert a.z == near(-b.z) and a.p_value == near(b.p_value)
+
+
+def test_one_segment_has_no_rest(trials):
+    found = seg.versus_rest(trials((3, 10))).first()
+    assert (found.rate, found.rate_vs_rest, found.z, found.p_value) == (0.3, None, None, None)
+    assert found.verdict == fv.NOT_TESTABLE
+
+
+def test_untestable_segments_count_for_the_threshold(trials):
+    found = seg.versus_rest(trials((30, 100), (20, 100), (0, 0))).orderBy("position").collect()
+    assert {r.n_tests for r in found} == {3}
+    assert (found[2].rate, found[2].verdict, found[2].ci_low) == (None, fv.NOT_TESTABLE, 0.0)
+
+
+@pytest.mark.parametrize(
+    "p, label",
+    [
+        (None, fv.NOT_TESTABLE), (0.0049, fv.SIGNIFICANT), (0.005, fv.BORDERLINE),
+        (0.0499, fv.BORDERLINE), (0.05, fv.NO_EVIDENCE),
+    ],
+)
+def test_verdict_thresholds_are_strict(spark, p, label):
+    assert one(spark, seg.verdict(F.lit(p).cast("double"), F.lit(0.005))) == (label,)
+
+
+def test_families_are_tested_apart(trials):
+    first, second = trials((30, 100), (20, 100)), trials((1, 10), (9, 10), step="t")
+    both = first.unionByName(second)
+    for part, step in ((first, "s"), (second, "t")):
+        alone = {tuple(r) for r in seg.versus_rest(part).collect()}
+        assert {tuple(r) for r in seg.versus_rest(both).where(F.col("step") == step).collect()} == alone
+
+
+def test_significant_names_in_reading_order(trials):
+    tests = seg.versus_rest(trials((300, 1000), (100, 1000), (200, 1000)))
+    assert tuple(seg.significant_names(tests).first()) == ("s", 2, "g0, g1")
+    none = seg.versus_rest(trials((1, 10), (1, 10)))
+    assert tuple(seg.significant_names(none).first()) == ("s", 0, "")
+
+
+def test_steps_of_a_funnel(spark):
+    funnel = spark.createDataFrame([(100, 40, 10)], "step_view bigint, step_cart bigint, step_purchase bigint")
+    found = seg.funnel_steps(funnel).collect()
+    assert [(r.step, r.k, r.n) for r in found] == [
+        ("Viewed", 100, 100), ("Added to cart", 40, 100), ("Purchased", 10, 40),
+    ]
+    assert [r.pct_previous for r in found] == [100.0, 40.0, 25.0]
+    assert {r.end_to_end for r in found} == {0.1}
+
+
+def test_steps_of_an_empty_funnel(spark):
+    funnel = spark.createDataFrame([(0, 0, 0)], "step_view bigint, step_cart bigint, step_purchase bigint")
+    for r in seg.funnel_steps(funnel).collect():
+        assert (r.rate, r.ci_low, r.ci_high, r.end_to_end) == (None, 0.0, 0.0, None)
+
+
+def test_rate_series_of_an_empty_segment_is_zero(trials):
+    found = seg.rate_series(trials((0, 0), (1, 4))).orderBy("position").collect()
+    assert (found[0].rate_pct, found[0].err_minus, found[0].err_plus) == (0.0, 0.0, 0.0)
+    assert found[1].rate_pct == 25.0
+    low, high = 100 * 0.04558726, 100 * 0.69935816
+    assert (25 - found[1].err_minus, 25 + found[1].err_plus) == (near(low, 5), near(high, 5))
+
+
+def test_abandonment_rates(spark):
+    counts = spark.createDataFrame([("per user", 4981, 2603), ("x", 0, 0)], "grain string, carters bigint, abandoned bigint")
+    first, empty = seg.abandonment_rates(counts).collect()
+    assert (first.rate, first.ci_low) == (near(2603 / 4981), near(0.50870248))
+    assert (empty.rate, empty.ci_low, empty.ci_high) == (None, 0.0, 0.0)
