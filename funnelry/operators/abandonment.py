@@ -12,22 +12,19 @@ from funnelry.fixed_values import CART, PURCHASE
 from funnelry.functions.events import ones
 from funnelry.operators.funnel import relevant_unit, stage_flags
 
-CARTED, PURCHASED = "carted", "purchased"
-
-
 def abandoned_counts() -> list[Column]:
     """Carters and abandoned carts out of unit flags; NULL over no units at all."""
-    carted, purchased = F.col(CARTED), F.col(PURCHASED)
+    carted, purchased = F.col("carted"), F.col("purchased")
     return [ones(carted).alias("carters"), ones(carted & ~purchased).alias("abandoned")]
 
 
 def abandonment(events: DataFrame, unit: str) -> DataFrame:
     """One row: carters and those of them without a purchase."""
     rows = events.select(relevant_unit(unit, CART, PURCHASE), "event_type")
-    return stage_flags(rows, [unit], (CARTED, PURCHASED)).agg(*abandoned_counts())
+    return stage_flags(rows, [unit]).agg(*abandoned_counts())
 
 
 def abandonment_by(events: DataFrame, segment: str, unit: str = "user_id") -> DataFrame:
     """The same per segment; a purchase counts only inside its own segment."""
     rows = events.select(segment, relevant_unit(unit, CART, PURCHASE), "event_type")
-    return stage_flags(rows, [segment, unit], (CARTED, PURCHASED)).groupBy(segment).agg(*abandoned_counts())
+    return stage_flags(rows, [segment, unit]).groupBy(segment).agg(*abandoned_counts())

@@ -4,8 +4,9 @@ A unit (user, session, or either within a segment) reaches a stage if it ever di
 order in time does not matter. Steps are conditional: a purchase counts only for a unit that
 also viewed and carted.
 
-Flags are `max` over a boolean, so map tasks collapse a unit to one row before the shuffle.
-A unit holding a third of all events costs one row per map task, not a third of the shuffle.
+The stages of a unit are one bit mask, so its aggregate is a single number: map tasks collapse a
+unit to one small row by hash before the shuffle. A unit holding a third of all events costs one
+row per map task, not a third of the shuffle.
 """
 
 from __future__ import annotations
@@ -19,13 +20,30 @@ from funnelry.fixed_values import CART, PURCHASE, VIEW
 from funnelry.functions.events import did, did_any, ones
 
 STAGES = {"viewed": VIEW, "carted": CART, "purchased": PURCHASE}
+BITS = {flag: 1 << i for i, flag in enumerate(STAGES)}
 
 
-def stage_flags(
-    events: DataFrame, unit: Sequence[str], stages: Sequence[str] = tuple(STAGES), *extra: Column
-) -> DataFrame:
-    """One row per unit with a boolean per stage, plus any extra aggregates."""
-    return events.groupBy(*unit).agg(*(F.max(did(STAGES[s])).alias(s) for s in stages), *extra)
+def stage_bit() -> Column:
+    """The bit of the event's stage; 0 for other events, NULL where the type is unknown."""
+    bit = None
+    for flag, kind in STAGES.items():
+        value = F.lit(BITS[flag])
+        bit = F.when(did(kind), value) if bit is None else bit.when(did(kind), value)
+    return bit.when(F.col("event_type").isNotNull(), F.lit(0))
+
+
+def stage_flags(events: DataFrame, unit: Sequence[str], *extra: Column) -> DataFrame:
+    """One row per unit with any extra aggregates and a boolean per stage.
+
+    A flag is NULL, not false, for a unit that has no event of a known type.
+    """
+    reached = {f: F.col("_stages").bitwiseAND(F.lit(bit)) == bit for f, bit in BITS.items()}
+    return (
+        events.groupBy(*unit)
+        .agg(F.bit_or(stage_bit()).alias("_stages"), *extra)
+        .withColumns(reached)
+        .drop("_stages")
+    )
 
 
 def step_counts() -> list[Column]:

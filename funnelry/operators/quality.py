@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelry import fixed_values as fv
-from funnelry.functions.events import did, did_any, is_blank, lacks_price, ones
+from funnelry.functions.events import did_any, is_blank, lacks_price, ones
 from funnelry.functions.numbers import percent
+from funnelry.operators.funnel import stage_flags
 from funnelry.schema import IDENTITY_COLUMNS
 
 
@@ -50,11 +51,7 @@ def redundant_rows(events: DataFrame) -> DataFrame:
 
 def units_without_view(events: DataFrame, unit: str) -> DataFrame:
     """One row: units that bought something and never viewed anything."""
-    flags = (
-        events.where(did_any(fv.VIEW, fv.PURCHASE))
-        .groupBy(unit)
-        .agg(F.max(did(fv.VIEW)).alias("viewed"), F.max(did(fv.PURCHASE)).alias("purchased"))
-    )
+    flags = stage_flags(events.where(did_any(fv.VIEW, fv.PURCHASE)), [unit])
     return flags.where(F.col("purchased") & ~F.col("viewed")).agg(
         F.count(F.lit(1)).alias("units")
     )

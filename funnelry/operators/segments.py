@@ -6,7 +6,8 @@ off takes no part. Units may sit in several segments; like any such per-segment
 treat the segments as independent samples.
 
 Totals are a grouped aggregate joined back on the step. That side has one row per step, two at
-most, so it is broadcast; the segments themselves are never brought together in one task.
+most, so it is broadcast; the segments themselves are never brought together in one task. Both
+sides of that join read the same segments, and Spark computes them once.
 """
 
 from __future__ import annotations
@@ -45,7 +46,9 @@ def _with_totals(trials: DataFrame) -> DataFrame:
     totals = trials.groupBy("step").agg(
         F.sum("k").alias("all_k"),
         F.sum("n").alias("all_n"),
-        F.count(F.lit(1)).alias("n_tests"),
+        # By name: a plain count would let Spark prune the labels from this side only, and then
+        # the two sides could no longer share the work on the events.
+        F.count_distinct(F.coalesce("segment", F.lit(""))).alias("n_tests"),
         ones(F.col("n") > 0).alias("groups"),
     )
     return trials.join(F.broadcast(totals), "step")

@@ -17,7 +17,7 @@ from funnelry.functions.events import has_price, top_category
 from funnelry.functions.numbers import percent, round_to
 from funnelry.operators import quality, timing
 from funnelry.operators.abandonment import abandonment, abandonment_by
-from funnelry.operators.funnel import STAGES, funnel, funnel_by, stage_flags, step_counts
+from funnelry.operators.funnel import funnel, funnel_by, stage_bit, stage_flags, step_counts
 from funnelry.operators.gaps import event_gaps
 from funnelry.operators.histogram import histogram, session_sizes, session_spans
 from funnelry.operators.ntile import with_tiles
@@ -55,24 +55,18 @@ def funnel_by_price_quartile(
     Equal prices on a border are dealt out by the numeric `tiebreak` columns, then by user and
     stage. Rows that agree in all of these cannot be told apart by the funnel.
     """
-    stage = reduce(
-        lambda done, i: done.when(F.col("event_type") == list(STAGES.values())[i], i + 1),
-        range(1, len(STAGES)),
-        F.when(F.col("event_type") == list(STAGES.values())[0], 1),
-    )
     order_by = ["price", *tiebreak, "user_id", "stage"]
     priced = events.where(has_price()).select(
         "price",
         *tiebreak,
         "user_id",
         "event_type",
-        F.coalesce(stage, F.lit(0)).alias("stage"),
+        F.coalesce(stage_bit(), F.lit(0)).alias("stage"),
     )
     return (
         stage_flags(
             with_tiles(priced, order_by, tiles, "price_quartile"),
             ["price_quartile", "user_id"],
-            tuple(STAGES),
             F.min("price").alias("low"),
             F.max("price").alias("high"),
         )

@@ -16,20 +16,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelry import fixed_values as fv
-from funnelry.functions.events import did, only_if
+from funnelry.functions.events import only_if
 from funnelry.operators.abandonment import abandoned_counts
-from funnelry.operators.funnel import STAGES, step_counts
+from funnelry.operators.funnel import STAGES, stage_flags, step_counts
 from funnelry.operators.timing import FIRST_PURCHASE, FIRST_VIEW, valid_converters
 from funnelry.plans import reports
 
 
 def session_rollup(events: DataFrame) -> DataFrame:
     """One row per user and session: size, span, stage flags, first times."""
-    return events.groupBy("user_id", "user_session").agg(
+    return stage_flags(
+        events,
+        ["user_id", "user_session"],
         F.count(F.lit(1)).alias("n_events"),
         F.min("event_ts").alias("first_ts"),
         F.max("event_ts").alias("last_ts"),
-        *(F.max(did(kind)).alias(flag) for flag, kind in STAGES.items()),
         F.min(only_if(fv.VIEW, "event_ts")).alias(FIRST_VIEW),
         F.min(only_if(fv.PURCHASE, "event_ts")).alias(FIRST_PURCHASE),
     )

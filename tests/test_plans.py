@@ -108,11 +108,13 @@ def test_quartiles_need_no_window_and_no_join(stored):
     assert "GreaterThan(price" in text
 
 
-def test_segment_tests_scan_the_events_once(stored):
-    df = inference.segment_tests(stored, inference.CATEGORY, "view → cart")
+@pytest.mark.parametrize("split", [inference.CATEGORY, inference.PRICE])
+@pytest.mark.parametrize("report", [inference.segment_tests, inference.segment_homogeneity])
+def test_segment_statistics_shuffle_the_events_once(stored, split, report):
+    df = report(stored, split, "view → cart")
     df.collect()
-    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert "ReusedExchange" in final or final.count("FileScan") == 1
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
 
 
 def test_rollup_is_one_shuffle(stored):
