@@ -23,6 +23,9 @@ from funnelry.operators.histogram import histogram, session_sizes, session_spans
 from funnelry.operators.ntile import with_tiles
 from funnelry.operators.products import product_carts
 
+# Where a missing key sorts.
+LOWEST = -(2**63)
+
 
 def funnel_user(events: DataFrame) -> DataFrame:
     """Q-1: the funnel over users."""
@@ -52,17 +55,13 @@ def funnel_by_price_quartile(
 ) -> DataFrame:
     """Q-4: the user funnel in four equal shares of priced events, cheapest first (ORD-4).
 
-    Equal prices on a border are dealt out by the numeric `tiebreak` columns, then by user and
-    stage. Rows that agree in all of these cannot be told apart by the funnel.
+    Equal prices on a border are dealt out by the whole-number `tiebreak` columns, then by user
+    and stage. Rows that agree in all of these cannot be told apart by the funnel.
     """
-    order_by = ["price", *tiebreak, "user_id", "stage"]
-    priced = events.where(has_price()).select(
-        "price",
-        *tiebreak,
-        "user_id",
-        "event_type",
-        F.coalesce(stage_bit(), F.lit(0)).alias("stage"),
-    )
+    ties = [F.coalesce(F.col(c), F.lit(LOWEST)) for c in (*tiebreak, "user_id")]
+    keys = [k.alias(f"_key{i}") for i, k in enumerate([*ties, F.coalesce(stage_bit(), F.lit(0))])]
+    order_by = ["price", *(f"_key{i}" for i in range(len(keys)))]
+    priced = events.where(has_price()).select("price", "user_id", "event_type", *keys)
     return (
         stage_flags(
             with_tiles(priced, order_by, tiles, "price_quartile"),

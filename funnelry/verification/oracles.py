@@ -48,6 +48,11 @@ def _query(body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([SHOP, *ctes]) + "\n" + body
 
 
+def over_table(sql: str, table: str) -> str:
+    """The same question over another event table with an `event_id`."""
+    return sql.replace(SHOP, f"shop AS (SELECT * FROM {table})", 1)
+
+
 def _flags(name: str, unit: str, source: str = "shop") -> str:
     return f"""{name} AS (
   SELECT {unit}, bool_or(event_type = 'view') AS v, bool_or(event_type = 'cart') AS c,

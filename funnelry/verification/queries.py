@@ -138,7 +138,8 @@ STEP_KEYS = {"cart": fv.VIEW_TO_CART, "purchase": fv.CART_TO_PURCHASE}
 SPLITS = (inference.CATEGORY, inference.PRICE)
 
 
-def _over_events() -> dict[str, Callable[[DataFrame], DataFrame]]:
+def over_events() -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """The queries as functions of an event table with an `event_id`."""
     found: dict[str, Callable[[DataFrame], DataFrame]] = dict(reports.REPORTS)
     found["funnel_by_price_quartile"] = lambda e: reports.funnel_by_price_quartile(e, TIEBREAK)
     found |= {
@@ -181,4 +182,4 @@ def _reading(query: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def all_queries() -> dict[str, Query]:
-    return {name: _reading(query) for name, query in _over_events().items()}
+    return {name: _reading(query) for name, query in over_events().items()}

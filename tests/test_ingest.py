@@ -125,6 +125,16 @@ def test_write_replaces_and_reports(spark, raw, tmp_path):
     assert tuple(event_table.load_report(stored).first()) == (3, 2)
 
 
+def test_compact_write_leaves_few_files(spark, tmp_path, events):
+    many = events(*((i, "s", i, "view") for i in range(64))).repartition(32)
+    sizes = {}
+    for compact in (False, True):
+        path = tmp_path / str(compact)
+        assert event_table.write_events(many, str(path), compact) == {"events": 64, "users": 64}
+        sizes[compact] = len(list(path.glob("*.parquet")))
+    assert sizes[True] < 4 < sizes[False]
+
+
 def test_layout_keeps_rows_and_splits_a_hot_user(spark, tmp_path, events):
     copies = [(7, "s", 5, "view")] * 600 + [(i, "t", i, "view") for i in range(300)]
     path = str(tmp_path / "events")
