@@ -5,7 +5,7 @@ the order, so all that is needed are the keys at which a new tile starts: `tiles
 They are found by narrowing. Each pass is one map-side-combined aggregate over the rows still
 in question, split into a fixed number of value ranges; it brings back at most
 `RANGES * (tiles - 1)` small rows and cuts the candidates by about a factor of RANGES. Once few
-enough rows are left, their distinct keys are ranked directly. Assigning tiles is then a
+enough rows are left, at most SMALL per border, they are ranked directly. Assigning tiles is then a
 comparison with literals: no join, no shuffle, no window.
 
 A key shared by very many rows (one price on a third of the table) is one value in these
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 RANGES = 4096
 # Candidate rows that may be ranked in one task.
-SMALL = 200_000
+SMALL = 20_000
 # Rows made by one generator call when copies are written out.
 CHUNK = 100_000
 
@@ -188,7 +188,7 @@ def _narrow(
 def _rank_directly(
     keys: DataFrame, order_by: Sequence[str], spans: dict[int, _Span]
 ) -> dict[int, Border]:
-    """Ranks the distinct keys of small spans and keeps those on which a tile starts."""
+    """Ranks the rows of small spans and keeps those on which a tile starts."""
     distinct = sorted(set(spans.values()), key=lambda s: s.before)
     which = before = start = None
     for i, s in enumerate(distinct):
@@ -199,20 +199,22 @@ def _rank_directly(
         before = F.when(inside, first) if before is None else before.when(inside, first)
         start = F.when(inside, ranks) if start is None else start.when(inside, ranks)
     in_order = Window.partitionBy("_span").orderBy(*order_by)
+    same_key = in_order.rangeBetween(Window.currentRow, Window.currentRow)
     found = (
-        keys.where(which.isNotNull())
-        .groupBy(*order_by)
-        .agg(F.count(F.lit(1)).alias("_ties"))
-        .select("*", which.alias("_span"), before.alias("_base"), start.alias("_ranks"))
-        .withColumn("_end", F.col("_base") + F.sum("_ties").over(in_order))
-        .withColumn("_rank", F.explode("_ranks"))
-        .where(F.col("_rank").between(F.col("_end") - F.col("_ties"), F.col("_end") - 1))
+        keys.select("*", which.alias("_span"), before.alias("_base"), start.alias("_ranks"))
+        .where(F.col("_span").isNotNull())
+        .select(
+            *order_by,
+            "_ranks",
+            (F.col("_base") + F.row_number().over(in_order) - 1).alias("_rank"),
+            (F.col("_base") + F.rank().over(in_order) - 1).alias("_before"),
+            F.count(F.lit(1)).over(same_key).alias("_ties"),
+        )
+        .where(F.array_contains("_ranks", F.col("_rank")))
         .collect()  # one row per tile border
     )
     return {
-        r["_rank"]: Border(
-            tuple(r[c] for c in order_by), r["_rank"], r["_end"] - r["_ties"], r["_ties"]
-        )
+        r["_rank"]: Border(tuple(r[c] for c in order_by), r["_rank"], r["_before"], r["_ties"])
         for r in found
     }
 

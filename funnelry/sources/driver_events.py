@@ -8,11 +8,8 @@ kept beside the nine event columns to break ties in price.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from funnelry.fixed_values import CART, PURCHASE, VIEW
-from funnelry.functions.times import display_time
 from funnelry.schema import EVENT_COLUMNS
 
 SOURCE_SCHEMA = T.StructType(
@@ -26,63 +23,46 @@ SOURCE_SCHEMA = T.StructType(
     ]
 )
 
-# --- fixed values: how source columns become labels (position = remainder) --------------
-CATEGORIES = (
-    None, "", "electronics.smartphone", "electronics.audio.headphone", "apparel.shoes",
-    "apparel", "computers.notebook", "furniture.bedroom.bed", "appliances.kitchen.oven", "auto",
-)
-BRANDS = (None, "", "acme", "globex", "initech", "stark")
-FIRST_PRODUCT = 1000
-RARE_ACTION_BELOW = 15      # k below this makes a click a cart, a purchase a purchase
-NO_VIEW_USERS = 37          # users divisible by this only ever purchase
-NULL_PRICE, ZERO_PRICE, NEGATIVE_PRICE = 97, 89, 83
-DOUBLED, DOUBLED_REST = 200, 7
+# --- fixed values: how source columns become event columns ------------------------------
+EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+SOURCE_PARTS = {
+    "event_id": "event_id",
+    "value": "value",
+    "source_type": "event_type",
+    "event_ts": f"timestampdiff(SECOND, {EPOCH}, ts)",
+    "d": "day(ts)",
+    "k": "cast(get_json_object(props, '$.k') AS int)",
+    "user_id": "user_id * 10 + cast(floor((day(ts) - 1) / 10) AS bigint)",
+}
+EVENT_RULES = {
+    "event_id": "event_id",
+    "event_time": f"concat(cast(timestampadd(SECOND, event_ts, {EPOCH}) AS string), ' UTC')",
+    "event_ts": "event_ts",
+    "event_type": """CASE WHEN user_id % 37 = 0 THEN 'purchase'
+                          WHEN source_type = 'click' AND k < 15 THEN 'cart'
+                          WHEN source_type = 'purchase' AND k < 15 THEN 'purchase'
+                          ELSE 'view' END""",
+    "product_id": "cast(1000 + k AS bigint)",
+    "category_code": """element_at(array(
+        NULL, '', 'electronics.smartphone', 'electronics.audio.headphone', 'apparel.shoes',
+        'apparel', 'computers.notebook', 'furniture.bedroom.bed', 'appliances.kitchen.oven',
+        'auto'), k % 10 + 1)""",
+    "brand": """element_at(array(NULL, '', 'acme', 'globex', 'initech', 'stark'),
+                           cast(event_id % 6 + 1 AS int))""",
+    "price": """CASE WHEN event_id % 97 = 0 THEN NULL
+                     WHEN event_id % 89 = 0 THEN 0.0D
+                     WHEN event_id % 83 = 0 THEN -1.0D
+                     ELSE value END""",
+    "user_id": "user_id",
+    "user_session": "concat(cast(user_id AS string), '-', cast(d AS string))",
+    # Some rows are recorded twice.
+    "copy": "explode(CASE WHEN event_id % 200 = 7 THEN array(1, 2) ELSE array(1) END)",
+}
 
 
 def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of the given events as a shop event, with some rows recorded twice."""
     source = spark.read.schema(SOURCE_SCHEMA).parquet(f"{sf_dir}/events.parquet")
-    eid, k, day = F.col("event_id"), F.col("k"), F.col("day")
-    kind = F.col("source_type")
-    rows = source.select(
-        "event_id",
-        F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), "ts").alias(
-            "event_ts"
-        ),
-        F.dayofmonth("ts").alias("day"),
-        F.col("user_id").alias("source_user"),
-        F.col("event_type").alias("source_type"),
-        "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-    ).withColumn("user_id", F.col("source_user") * 10 + F.floor((day - 1) / 10))
-    rare = k < RARE_ACTION_BELOW
-    once, twice = F.array(F.lit(1)), F.array(F.lit(1), F.lit(2))
-    copies = F.when(eid % DOUBLED == DOUBLED_REST, twice).otherwise(once)
-    return rows.select(
-        "event_id",
-        display_time(F.col("event_ts")).alias("event_time"),
-        "event_ts",
-        F.when(F.col("user_id") % NO_VIEW_USERS == 0, PURCHASE)
-        .when((kind == "click") & rare, CART)
-        .when((kind == "purchase") & rare, PURCHASE)
-        .otherwise(VIEW)
-        .alias("event_type"),
-        (FIRST_PRODUCT + k).cast("bigint").alias("product_id"),
-        _pick(CATEGORIES, k).alias("category_code"),
-        _pick(BRANDS, eid).alias("brand"),
-        F.when(eid % NULL_PRICE == 0, F.lit(None))
-        .when(eid % ZERO_PRICE == 0, F.lit(0.0))
-        .when(eid % NEGATIVE_PRICE == 0, F.lit(-1.0))
-        .otherwise(F.col("value"))
-        .alias("price"),
-        "user_id",
-        F.concat(F.col("user_id").cast("string"), F.lit("-"), day.cast("string")).alias("user_session"),
-        F.explode(copies).alias("copy"),
-    ).select("event_id", *EVENT_COLUMNS)
-
-
-def _pick(labels, number):
-    """labels[number mod len(labels)]"""
-    return F.element_at(
-        F.array(*(F.lit(v).cast("string") for v in labels)), (number % len(labels) + 1).cast("int")
-    )
+    parts = source.selectExpr(*(f"{rule} AS {name}" for name, rule in SOURCE_PARTS.items()))
+    rows = parts.selectExpr(*(f"{rule} AS {name}" for name, rule in EVENT_RULES.items()))
+    return rows.select("event_id", *EVENT_COLUMNS)
