@@ -18,12 +18,17 @@ def histogram(
     count: str,
     weight: Column | None = None,
 ) -> DataFrame:
-    """Rows per bucket (or their summed weight), ordered by the smallest value in the bucket."""
+    """Rows per bucket (or their summed weight), ordered by the smallest value in the bucket.
+
+    There are as many rows as buckets at most; saying so makes the order a top-k, not a range
+    sort with a sampling job of its own.
+    """
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     return (
         df.groupBy(bucket_label(F.col(value), table).alias(label))
         .agg(F.min(value).alias("sort_key"), size.alias(count))
         .orderBy("sort_key")
+        .limit(len(table))
     )
 
 

@@ -17,17 +17,16 @@ The input is read several times and must give the same rows each time; read it f
 
 from __future__ import annotations
 
+import math
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
-from operator import and_, or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 4096
+RANGES = 1024
 # Candidate rows that may be ranked in one task.
 SMALL = 20_000
 # Rows made by one generator call when copies are written out.
@@ -103,13 +102,12 @@ def tile_borders(
 
 def tile_bounds(order_by: Sequence[str], borders: Sequence[Border]) -> tuple[Column, Column]:
     """Lowest and highest tile of the rows with a row's key; they differ only if ties are split."""
-    low = high = F.lit(1)
+    low, high = ["1"], ["1"]
     for b in borders:
         after, at = _after(order_by, b.key), _equal(order_by, b.key)
-        started = after if b.splits_ties else after | at
-        low = low + started.cast("int")
-        high = high + (after | at).cast("int")
-    return low, high
+        high.append(f"int({after} OR {at})")
+        low.append(f"int({after})" if b.splits_ties else high[-1])
+    return F.expr(" + ".join(low)), F.expr(" + ".join(high))
 
 
 def with_tiles(
@@ -137,7 +135,8 @@ def ntile(
     split = [b for b in borders if b.splits_ties]
     if not split:
         return keys.withColumn(name, low)
-    whole = keys.where(~_any_of(order_by, split)).withColumn(name, low)
+    at_split = " OR ".join(_equal(order_by, b.key) for b in split)
+    whole = keys.where(f"NOT ({at_split})").withColumn(name, low)
     shares = keys.sparkSession.createDataFrame(
         _shares(borders, tiles), keys.schema.simpleString()[7:-1] + f",{name}:int,copies:bigint"
     )
@@ -159,14 +158,11 @@ def _narrow(
     """
     done = {s: len(s.fixed) for s in spans}
     looked_at = {c for n in done.values() for c in order_by[n : n + 2]}
-    which = part = None
-    for i, s in enumerate(spans):
-        inside, place = _inside(order_by, s), _place(F.col(order_by[done[s]]), s)
-        which = F.when(inside, i) if which is None else which.when(inside, i)
-        part = F.when(inside, place) if part is None else part.when(inside, place)
+    inside = [_inside(order_by, s) for s in spans]
+    places = [_place(order_by[done[s]], s) for s in spans]
     ends = [f(c).alias(f"{n} {c}") for c in looked_at for n, f in (("low", F.min), ("high", F.max))]
     counted = (
-        keys.select("*", which.alias("_span"), part.alias("_part"))
+        keys.select("*", _case(inside, range(len(spans)), "_span"), _case(inside, places, "_part"))
         .where(F.col("_span").isNotNull())
         .groupBy("_span", "_part")
         .agg(F.count(F.lit(1)).alias("_rows"), *ends)
@@ -190,18 +186,17 @@ def _rank_directly(
 ) -> dict[int, Border]:
     """Ranks the rows of small spans and keeps those on which a tile starts."""
     distinct = sorted(set(spans.values()), key=lambda s: s.before)
-    which = before = start = None
-    for i, s in enumerate(distinct):
-        inside = _inside(order_by, s)
-        ranks = F.array(*(F.lit(r).cast("bigint") for r, own in spans.items() if own == s))
-        first = F.lit(s.before).cast("bigint")
-        which = F.when(inside, i) if which is None else which.when(inside, i)
-        before = F.when(inside, first) if before is None else before.when(inside, first)
-        start = F.when(inside, ranks) if start is None else start.when(inside, ranks)
+    inside = [_inside(order_by, s) for s in distinct]
+    starts = [f"array({', '.join(f'{r}L' for r, own in spans.items() if own == s)})" for s in distinct]
     in_order = Window.partitionBy("_span").orderBy(*order_by)
     same_key = in_order.rangeBetween(Window.currentRow, Window.currentRow)
     found = (
-        keys.select("*", which.alias("_span"), before.alias("_base"), start.alias("_ranks"))
+        keys.select(
+            "*",
+            _case(inside, range(len(distinct)), "_span"),
+            _case(inside, (f"{s.before}L" for s in distinct), "_base"),
+            _case(inside, starts, "_ranks"),
+        )
         .where(F.col("_span").isNotNull())
         .select(
             *order_by,
@@ -219,51 +214,57 @@ def _rank_directly(
     }
 
 
-def _inside(order_by: Sequence[str], span: _Span) -> Column:
+def _case(conditions: Sequence[str], values: Iterable[Any], name: str) -> Column:
+    cases = " ".join(f"WHEN {c} THEN {v}" for c, v in zip(conditions, values))
+    return F.expr(f"CASE {cases} END").alias(name)
+
+
+def _inside(order_by: Sequence[str], span: _Span) -> str:
     conditions = [_equal(order_by, span.fixed)] if span.fixed else []
     if span.ends and span.ends[0]:
-        low, high = (F.lit(v) for v in span.ends[0])
-        conditions.append(F.col(order_by[len(span.fixed)]).between(low, high))
-    return reduce(and_, conditions) if conditions else F.lit(True)
+        low, high = map(_literal, span.ends[0])
+        conditions.append(f"`{order_by[len(span.fixed)]}` BETWEEN {low} AND {high}")
+    return " AND ".join(conditions) or "true"
 
 
-def _place(column: Column, span: _Span) -> Column:
+def _place(column: str, span: _Span) -> str:
     """Which of RANGES equal parts of [low, high] a value is in; never decreasing in the value.
 
     Lowest and highest value always land in different parts, so every pass makes progress.
     """
     if not span.ends[0]:
-        return F.lit(0)
+        return "0"
     low, high = span.ends[0]
     if isinstance(low, float):
-        scale = 0.25  # keeps the width of the widest range finite
         top = min(high, sys.float_info.max)
-        if top - low < sys.float_info.max:
-            scale = 1.0
-        offset = column * F.lit(scale) - F.lit(low * scale)
+        # A quarter of the widest possible range is still finite.
+        scale = 1.0 if top - low < sys.float_info.max else 0.25
+        offset = f"`{column}` * {_literal(scale)} - {_literal(low * scale)}"
         width = (top * scale - low * scale) or 1.0
     elif high - low < 2**62:
-        offset, width = column - F.lit(low), float(high - low)
+        offset, width = f"`{column}` - {_literal(low)}", float(high - low)
     else:
-        offset, width = column.cast("double") - F.lit(float(low)), float(high) - float(low)
-    return F.least(F.lit(RANGES - 1.0), offset / F.lit(width) * RANGES).cast("int")
+        offset, width = f"double(`{column}`) - {_literal(float(low))}", float(high) - float(low)
+    return f"int(least({RANGES - 1}D, ({offset}) / {_literal(width)} * {RANGES}))"
 
 
-def _equal(order_by: Sequence[str], key: Sequence[Any]) -> Column:
-    return reduce(and_, (F.col(c) == F.lit(v) for c, v in zip(order_by, key)))
+def _equal(order_by: Sequence[str], key: Sequence[Any]) -> str:
+    return "(" + " AND ".join(f"`{c}` = {_literal(v)}" for c, v in zip(order_by, key)) + ")"
 
 
-def _after(order_by: Sequence[str], key: Sequence[Any]) -> Column:
+def _after(order_by: Sequence[str], key: Sequence[Any]) -> str:
     """Lexicographically greater than the key."""
     cases = []
     for i, (c, v) in enumerate(zip(order_by, key)):
-        greater = F.col(c) > F.lit(v)
-        cases.append(_equal(order_by[:i], key[:i]) & greater if i else greater)
-    return reduce(or_, cases)
+        greater = f"`{c}` > {_literal(v)}"
+        cases.append(f"{_equal(order_by[:i], key[:i])} AND {greater}" if i else greater)
+    return "(" + " OR ".join(f"({c})" for c in cases) + ")"
 
 
-def _any_of(order_by: Sequence[str], borders: Sequence[Border]) -> Column:
-    return reduce(or_, (_equal(order_by, b.key) for b in borders))
+def _literal(value: float | int) -> str:
+    if isinstance(value, int):
+        return f"{value}L"
+    return f"double('{value!r}')" if math.isinf(value) else f"{value!r}D"
 
 
 def _shares(borders: Sequence[Border], tiles: int) -> list[tuple]:

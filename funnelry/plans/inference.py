@@ -27,7 +27,7 @@ def price_segments(events: DataFrame, tiebreak: Sequence[str] = ()) -> DataFrame
     """The price funnel as segments labelled by their price range, cheapest first (PRJ-10)."""
     quartile = F.col("price_quartile")
     label = quartile_label(quartile, F.col("price_min"), F.col("price_max"))
-    return reports.funnel_by_price_quartile(events, tiebreak).select(
+    return reports.price_quartiles(events, tiebreak).select(
         label.alias("segment"), quartile.cast("bigint").alias("position"), *STEP_COLUMNS
     )
 

@@ -53,7 +53,15 @@ def funnel_by_category(
 def funnel_by_price_quartile(
     events: DataFrame, tiebreak: Sequence[str] = (), tiles: int = fv.QUARTILES
 ) -> DataFrame:
-    """Q-4: the user funnel in four equal shares of priced events, cheapest first (ORD-4).
+    """Q-4: the user funnel in four equal shares of priced events, cheapest first (ORD-4)."""
+    found = price_quartiles(events, tiebreak, tiles)
+    return found.orderBy("price_quartile").limit(tiles)  # all there are
+
+
+def price_quartiles(
+    events: DataFrame, tiebreak: Sequence[str] = (), tiles: int = fv.QUARTILES
+) -> DataFrame:
+    """Q-4 in no particular order.
 
     Equal prices on a border are dealt out by the whole-number `tiebreak` columns, then by user
     and stage. Rows that agree in all of these cannot be told apart by the funnel.
@@ -71,7 +79,6 @@ def funnel_by_price_quartile(
         )
         .groupBy("price_quartile")
         .agg(F.min("low").alias("price_min"), F.max("high").alias("price_max"), *step_counts())
-        .orderBy("price_quartile")
     )
 
 
@@ -114,6 +121,7 @@ def conversion_kinds(users: DataFrame) -> DataFrame:
             round_to(F.col("mean") / 3600.0, 2).alias("avg_hours_to_convert"),
         )
         .orderBy(F.desc("users"), "convert_bucket")
+        .limit(1 + len(fv.CONVERSION_KIND))  # all there are
     )
 
 

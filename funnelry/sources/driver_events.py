@@ -31,7 +31,8 @@ SOURCE_PARTS = {
     "source_type": "event_type",
     "event_ts": f"timestampdiff(SECOND, {EPOCH}, ts)",
     "d": "day(ts)",
-    "k": "cast(get_json_object(props, '$.k') AS int)",
+    # Always {"k": number}; reading the digits costs a fraction of parsing the JSON.
+    "k": """try_cast(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS int)""",
     "user_id": "user_id * 10 + cast(floor((day(ts) - 1) / 10) AS bigint)",
 }
 EVENT_RULES = {

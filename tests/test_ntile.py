@@ -80,3 +80,9 @@ def test_report_with_one_price(events, rows):
 def test_report_counts_copies_on_a_border_in_both_quartiles(events, rows):
     df = events(*((1, "s", 1, "view") for _ in range(8)))
     assert [r[3] for r in rows(reports.funnel_by_price_quartile(df))] == [1, 1, 1, 1]
+
+
+def test_report_places_missing_users_first(events, rows):
+    df = events(*((u, "s", 1, kind) for u in (None, 1, 2, 3) for kind in ("view", "cart")))
+    found = rows(reports.funnel_by_price_quartile(df))
+    assert [r[3:] for r in found] == [(1, 1, 0)] * 4
