@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from funnelry.fixed_values import NA_WORDS, TARGET_EVENTS
-from funnelry.functions.sampling import keep_buckets_for, sample_users
+from funnelry.functions.sampling import keep_buckets_for, keep_buckets_of, sample_users
 from funnelry.functions.times import epoch_seconds
 from funnelry.schema import EVENT_COLUMNS, RAW_COLUMNS, RAW_SCHEMA, REQUIRED_COLUMNS
 
@@ -68,25 +68,21 @@ def events_from_csv(
     return normalise(raw if keep_buckets is None else sample_users(raw, keep_buckets))
 
 
-def estimated_rows(spark: SparkSession, path: str) -> DataFrame:
-    """One row `rows`: bytes of all files over the mean length of their first lines.
+def estimated_rows(spark: SparkSession, path: str) -> int:
+    """Bytes of all files over the mean length of their first lines.
 
-    File sizes come from the listing; contents are not read for them.
+    File sizes come from the listing; contents are not read for them. Only the lengths of the
+    sampled lines come to the driver, and `take` stops at the first split that has enough; a
+    limit inside a larger plan would start a task on every split.
     """
-    files = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("bytes"))
-    lines = (
-        spark.read.text(path)
-        .limit(SAMPLE_LINES)
-        .agg(F.avg(F.octet_length("value") + 1).alias("line"))
-    )
-    both = files.select("bytes", F.lit(None).cast("double").alias("line")).unionByName(
-        lines.select(F.lit(None).cast("bigint").alias("bytes"), "line")
-    )
-    return both.agg(F.floor(F.max("bytes") / F.greatest(F.max("line"), F.lit(1.0))).alias("rows"))
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    lines = spark.read.text(path).select(F.octet_length("value") + 1).take(SAMPLE_LINES)
+    mean = sum(r[0] for r in lines) / max(len(lines), 1)
+    return int((size or 0) / max(mean, 1.0))
 
 
 def calibration(rows: DataFrame, target_events: int = TARGET_EVENTS) -> DataFrame:
-    """(rows, keep_buckets) from a one-row table of the number of rows (SRC-5)."""
+    """(rows, keep_buckets) from a one-row table of the exact number of rows (SRC-5)."""
     return rows.select("rows", keep_buckets_for(F.col("rows"), target_events).alias("keep_buckets"))
 
 
@@ -94,4 +90,4 @@ def calibrate_keep_buckets(
     spark: SparkSession, path: str, target_events: int = TARGET_EVENTS
 ) -> int:
     """How many hash buckets of users to keep to end up near the target."""
-    return calibration(estimated_rows(spark, path), target_events).first()["keep_buckets"]
+    return keep_buckets_of(min(1.0, target_events / max(estimated_rows(spark, path), 1)))

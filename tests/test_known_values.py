@@ -2,6 +2,7 @@
 
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from funnelry.plans.reports import REPORTS
 from funnelry.sources.driver_events import clickstream
@@ -60,3 +61,20 @@ def test_steps_never_grow(shop):
     for name in ("funnel_user", "funnel_session"):
         r = REPORTS[name](shop).first()
         assert r.step_purchase <= r.step_cart <= r.step_view <= r.total_units
+
+
+def test_orders_as_a_clickstream(spark, rows):
+    """Another table: an order is a session, a line an action, its return flag the stage."""
+    read = lambda name: spark.read.parquet(str(DATA / "sf0.01" / f"{name}.parquet"))
+    stages = F.create_map(*(F.lit(v) for pair in zip("NAR", ("view", "cart", "purchase")) for v in pair))
+    lines = (
+        read("lineitem")
+        .join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .select(
+            F.col("o_custkey").alias("user_id"),
+            F.col("l_orderkey").cast("string").alias("user_session"),
+            stages[F.col("l_returnflag")].alias("event_type"),
+        )
+    )
+    assert rows(REPORTS["funnel_user"](lines)) == [(1500, 1499, 1498, 1495)]
+    assert rows(REPORTS["funnel_session"](lines)) == [(14743, 11062, 8102, 6003)]
