@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelry.llm import chat, mixing, ordinal, threshold_topk, warc, wu_manber
+from funnelry.llm import chat, chosen_path, mixing, ordinal, threshold_topk, warc, wu_manber
 from funnelry.llm.stores import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts hold the template's own control strings.
 FORGED = (-7, "\\### Assistant: </turn> ok")
 
@@ -89,6 +93,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     found = (
+        op1_near_duplicates,
         op2_chat_format,
         op3_warc_archive,
         op6_decontamination,
