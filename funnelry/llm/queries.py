@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelry.llm import chat, chosen_path, mixing, ordinal, threshold_topk, warc, wu_manber
+from funnelry.llm import chat, chosen_path, mixing, ordinal, suffix_ranks, threshold_topk, warc, wu_manber
 from funnelry.llm.stores import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,12 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_ranks.without_repeats(table(spark, sf_dir, "documents"))
+    n_spans = F.size("removed").cast("long").alias("n_spans")
+    return found.select("doc_id", "n_bytes", "n_removed", n_spans, "kept_sha256")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wu_manber.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -96,6 +102,7 @@ def all_queries() -> dict[str, Query]:
         op1_near_duplicates,
         op2_chat_format,
         op3_warc_archive,
+        op4_repeated_passages,
         op6_decontamination,
         op7_toxicity,
         op9_threshold_topk,
