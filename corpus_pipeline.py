@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from funnelry.llm import mixing, ordinal, queries, wu_manber
+from funnelry.llm import chosen_path, mixing, ordinal, queries, suffix_ranks, wu_manber
 from funnelry.llm.stores import new_path
 
 
@@ -14,6 +14,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ordinal.accepted(docs, ordinal.fit(labelled, queries.grades(spark, sf_dir)))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    return chosen_path.deduplicated(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages that also stand in a document with a smaller id."""
+    return suffix_ranks.deduplicated(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with benchmark passages."""
     return wu_manber.decontaminated(docs, queries.table(spark, sf_dir, "benchmark"))
@@ -26,6 +36,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
     ("decontamination", decontamination),
     ("mix", mix),
 ]

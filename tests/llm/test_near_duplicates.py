@@ -1,0 +1,112 @@
+import random
+
+import numpy as np
+
+from funnelry.llm import chosen_path
+from funnelry.llm.components import components
+
+
+def words_of(text):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for space in "\t\n\x0b\x0c\r":
+        lowered = lowered.replace(space, " ")
+    return [w for w in lowered.split(" ") if w]
+
+
+def brute(rows, similar=85):
+    """Set sizes and components of (id, text), by comparing all pairs."""
+    sets = []
+    for _, text in rows:
+        words = words_of(text)
+        runs = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        sets.append(runs or ({tuple(words)} if words else set()))
+    label = {i: i for i, _ in rows if i is not None}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, (i, _) in enumerate(rows):
+        for b, (j, _) in enumerate(rows[:a]):
+            both = len(sets[a] & sets[b])
+            if i is not None and j is not None and both and 100 * both >= similar * len(sets[a] | sets[b]):
+                x, y = root(i), root(j)
+                label[max(x, y)] = min(x, y)
+    return [(i, len(s), None if i is None else root(i)) for (i, _), s in zip(rows, sets, strict=True)]
+
+
+def found(df):
+    return [(r.doc_id, r.n_shingles, r.component_id) for r in df.collect()]
+
+
+def ordered(rows):
+    return sorted(rows, key=str)
+
+
+def variants(n, seed, length=60, changes=4):
+    """Near copies of one text: some pairs above the bound, some below."""
+    pick = random.Random(seed)
+    base = [f"w{pick.randrange(500)}" for _ in range(length)]
+    for _ in range(n):
+        words = list(base)
+        for _ in range(pick.randrange(changes)):
+            words[pick.randrange(len(words))] = f"x{pick.randrange(10**6)}"
+        yield " ".join(words)
+
+
+def test_as_all_pairs(spark, documents):
+    rows = [(i, t) for i, t in enumerate(variants(60, 1))]
+    rows += [(100 + i, t) for i, t in enumerate(variants(60, 2, 200, 12))]
+    rows += [(300 + i, t.upper()) for i, t in enumerate(variants(20, 1, 60, 1))]
+    random.Random(3).shuffle(rows)
+    assert ordered(found(chosen_path.near_duplicates(documents(*rows)))) == ordered(brute(rows))
+
+
+def test_edge_rows(spark, documents):
+    long = " ".join(f"v{k}" for k in range(40_000))
+    rows = [
+        (1, None), (2, ""), (3, " \n\t"), (4, "One two"), (5, "one  TWO"), (6, "one two three"),
+        (7, long), (8, long + " end"), (9, "a b c d e"), (9, "a b c d e"), (10, "A b c d e"),
+        (None, "one two"), (None, None), (11, "p q r s t u"), (11, "one two three"), (12, "p q r s t u"),
+    ]
+    result = chosen_path.near_duplicates(documents(*rows))
+    assert ordered(found(result)) == ordered(brute(rows))
+    assert {(r.doc_id, r.kept) for r in result.collect()} == {
+        (1, True), (2, True), (3, True), (4, True), (5, False), (6, True), (7, True), (8, False),
+        (9, True), (10, False), (None, True), (11, False), (12, False),
+    }
+
+
+def test_large_nodes_branch_and_blocks_meet(spark, documents, monkeypatch):
+    monkeypatch.setattr(chosen_path, "SMALL", 8)
+    monkeypatch.setattr(chosen_path, "BLOCK_BYTES", 4_000)
+    rows = [(i, t) for i, t in enumerate(variants(90, 5))]
+    assert ordered(found(chosen_path.near_duplicates(documents(*rows)))) == ordered(brute(rows))
+
+
+def test_copies_and_no_rows(spark, documents):
+    rows = [(i, "the same six words every time") for i in range(500)]
+    result = chosen_path.near_duplicates(documents(*rows)).collect()
+    assert {r.component_id for r in result} == {0} and sum(r.kept for r in result) == 1
+    assert chosen_path.near_duplicates(documents()).collect() == []
+
+
+def test_kept_documents_have_their_columns(spark, documents):
+    docs = documents((3, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (4, None))
+    kept = chosen_path.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r[0]) for r in kept.collect()) == ["2", "4", "None"]
+
+
+def test_spanning_links_are_few():
+    sets = np.tile(np.arange(50, dtype=np.uint64), 200)
+    links = chosen_path.spanning_links(np.arange(200), sets, np.arange(201) * 50, 85)
+    assert len(links) == 199
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(8, 40)] + [(50, 50), (None, 1)]
+    result = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    expected = {k: 100 for k in range(100, 141)} | {k: 7 for k in range(7, 40)} | {50: 50}
+    assert {r.id: r.component for r in result} == expected
