@@ -25,11 +25,10 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", str(folder / "warehouse"))
+        .config("spark.checkpoint.dir", str(folder / "checkpoint"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", str(folder / "checkpoint"))
     yield session
     session.stop()
 
