@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ROWS = 20_000
-BYTES = 32 << 20
+BYTES = 8 << 20
 
 
 def together(df: DataFrame, *keys: str) -> DataFrame:

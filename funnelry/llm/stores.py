@@ -62,8 +62,8 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the rows that are handed to Python at once, for tables with very long texts."""
+def small_batches(spark: SparkSession, rows: int = 64) -> None:
+    """Bounds the rows that are handed to Python at once, for very long texts and packed rows."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
