@@ -180,7 +180,8 @@ def candidates(nodes: DataFrame, trees: int = TREES, similar: int = SIMILAR) ->
         rows = rows.withColumn("node", F.explode(_children(F.col("node"), similar)))
         slim = stored(rows.select("id", "node"), "branches")
         counts = slim.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("least"))
-        counts = counts.where("members > 1").withColumnRenamed("node", "n")
+        # Stored, so that both sides of the join are plain shuffles and Spark can split a hot node.
+        counts = stored(counts.where("members > 1").withColumnRenamed("node", "n"), "nodes")
         slim = slim.join(counts, F.col("node") == F.col("n")).drop("n")
         slim = stored(slim, "members")
         small, large = (slim.where(c).withColumnRenamed("id", "i") for c in (f"members <= {SMALL}", f"members > {SMALL}"))
