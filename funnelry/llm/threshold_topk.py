@@ -30,7 +30,11 @@ K = 20
 LIMIT = 1 << 25
 CANDIDATES = 4096
 QUERIES = 1024
-FIRST_DEPTH = 16
+FIRST_DEPTH = 4
+#: Lists are read to the end from the depth on where their entries are this part of a block.
+READ_ALL = 2
+#: Queries that are scored at once when all lists are read.
+TOGETHER = 256
 
 
 def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
@@ -76,28 +80,49 @@ def search_block(
     depths = np.unique([min(FIRST_DEPTH << i, n) for i in range(max(1, n.bit_length()))])
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
     bounds = up @ ordered[n - depths].T + down @ ordered[depths - 1].T
-    out = []
-    for query_id, query, bound in zip(query_ids, queries, bounds, strict=True):
-        rising, falling = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        step = 0
-        while True:
-            depth = depths[step]
-            seen = np.full(n, depth == n)
-            seen[lists[n - depth :, rising]] = True
-            seen[lists[:depth, falling]] = True
-            met = np.flatnonzero(seen)
-            met = met[ids[met] != query_id]
-            score = vectors[met] @ query
-            top = best(score, met, k)
-            if depth == n:
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def read(at: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates met down to a depth, and their scores."""
+        seen = np.zeros(n, bool)
+        seen[lists[n - depth :, queries[at] > 0]] = True
+        seen[lists[:depth, queries[at] < 0]] = True
+        met = np.flatnonzero(seen)
+        met = met[ids[met] != query_ids[at]]
+        return met, vectors[met] @ queries[at]
+
+    def result(at: int, met: np.ndarray, score: np.ndarray) -> None:
+        top = best(score, met, k)
+        out.append((np.full(len(top), query_ids[at]), ids[met[top]], score[top].astype(np.int64)))
+
+    to_the_end = []
+    for at in range(len(queries)):
+        step, enough = -1, 0
+        while step < enough:
+            step = enough
+            if depths[step] == n or depths[step] * dims >= n // READ_ALL:
+                to_the_end.append(at)
                 break
-            if len(top) == k and bound[step] < score[top[-1]]:
-                break
-            kth = score[top[-1]] if len(top) == k else -np.inf
-            # The k-th result can only rise, so the first depth with a lower bound is enough.
-            enough = np.flatnonzero(bound < kth)
-            step = min(max(enough[0] if len(enough) else len(depths) - 1, step + 1), len(depths) - 1)
-        out.append((np.full(len(top), query_id), ids[met[top]], score[top].astype(np.int64)))
+            met, score = read(at, depths[step])
+            if len(score) >= k:
+                # The k-th result can only rise, so the first depth with a lower bound is enough.
+                below = np.flatnonzero(bounds[at] < np.partition(score, -k)[-k])
+                enough = max(step, int(below[0]) if len(below) else len(depths) - 1)
+            else:
+                enough = min(step + 1, len(depths) - 1)
+        else:
+            result(at, met, score)
+    # Lists that must be read to meet most candidates are read to their ends, many queries at once.
+    for begin in range(0, len(to_the_end), TOGETHER):
+        some = to_the_end[begin : begin + TOGETHER]
+        scores = queries[some] @ vectors.T
+        reach = np.partition(scores, -min(k + 1, n), axis=1)[:, -min(k + 1, n)]
+        for at, score, least in zip(some, scores, reach, strict=True):
+            met = np.flatnonzero(score >= least)
+            if (ids[met] == query_ids[at]).sum() > 1:  # repeated rows of the query itself
+                met = np.arange(n)
+            met = met[ids[met] != query_ids[at]]
+            result(at, met, score[met])
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
