@@ -29,11 +29,12 @@ from funnelry.llm.text import BETWEEN_SPACES, LETTERS_AND_DIGITS, slices, words_
 
 MAX_TRAIN = 8_000
 MAX_FEATURES = 4_096
-FEATURE_BITS = 20
+#: Entries of the table that finds a feature; its full number decides.
+TABLE_BITS = 20
 HEADS = (3, 4, 5, 6)
-MIN_CHI2 = 40.0
-L2 = 1e-3
-STEPS = 300
+MIN_CHI2 = 25.0
+L2 = 1e-5
+STEPS = 1_000
 #: A document is rejected from this probability of any severity on.
 REJECT = 0.5
 
@@ -42,9 +43,11 @@ LETTERS = LETTERS_AND_DIGITS & BETWEEN_SPACES
 
 @dataclass
 class Model:
-    """Feature f has weight weight[slot[f]]; slot 0 stands for all features that are not used."""
+    """Feature f may be in slot[its first bits] and is if it has that slot's number; slot 0 stands
+    for all features that are not used."""
 
     slot: np.ndarray
+    number: np.ndarray
     weight: np.ndarray
     theta: np.ndarray
 
@@ -53,44 +56,44 @@ class Model:
         return len(self.theta) + 1
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and feature of every word and word head, and the number of words of each row."""
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and feature of every word and word head."""
     words = words_of(texts, LETTERS)
     found = [words.number, *(words.head(n) ^ np.uint64(n) for n in HEADS)]
-    shift = np.uint64(64 - FEATURE_BITS)
     row = np.tile(words.row(), len(found))
-    return row, (np.concatenate(found) >> shift).astype(np.int32), np.diff(words.first)
+    return row, np.concatenate(found)
 
 
-def _distinct(row: np.ndarray, feature: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features row after row: the features, and where each row begins."""
-    key = np.unique(row.astype(np.int64) << np.int64(32) | feature.astype(np.int64))
+def _entry(number: np.ndarray) -> np.ndarray:
+    return (number >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def _distinct(row: np.ndarray, slot: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots row after row, and where each row begins."""
+    key = np.unique(row.astype(np.int64) << np.int64(32) | slot.astype(np.int64))
     first = np.searchsorted(key >> np.int64(32), np.arange(n + 1))
     return (key & np.int64(0xFFFFFFFF)).astype(np.int32), first
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
-    """(grade, features, n_words) of at most `max_train` labelled documents."""
+    """(grade, features) of at most `max_train` labelled documents."""
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_train)
     chosen = chosen.withColumnRenamed("doc_id", "id")
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("grade", "text")
     schema = T.StructType(
         [
             T.StructField("grade", T.IntegerType()),
-            T.StructField("features", T.ArrayType(T.IntegerType())),
-            T.StructField("n_words", T.LongType()),
+            T.StructField("features", T.ArrayType(T.LongType())),
         ]
     )
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                row, feature, n = features(part.column(1))
-                feature, first = _distinct(row, feature, len(part))
-                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(feature))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), lists, pa.array(n, pa.int64())], schema.names
-                )
+                row, feature = features(part.column(1))
+                own = [np.unique(feature[row == r]).view(np.int64) for r in range(len(part))]
+                lists = pa.array(own, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], schema.names)
 
     return stored(rows.mapInArrow(extract, schema), "labelled")
 
@@ -141,7 +144,7 @@ def fit_link(rows: list[np.ndarray], grade: np.ndarray, n_features: int) -> tupl
         for param, g, (m, v) in zip((weight, base, gaps), grads, state, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            rate = 0.1 / (1 + step / 100)
+            rate = 0.1 / (1 + step / 500)
             param += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return weight, base[0] + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
@@ -149,8 +152,9 @@ def fit_link(rows: list[np.ndarray], grade: np.ndarray, n_features: int) -> tupl
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, split: bool = True) -> Model | None:
     """A model from labels (doc_id, grade); None if they hold fewer than two grades.
 
-    With `split`, labels that know only two grades are refined: the upper one is halved at the
-    median share of words that bear its signs.
+    With `split`, labels that know only two grades are refined: a model of the two is fitted, and
+    the upper one is halved at its median score. Any finer grade must be one that the shared
+    weights can tell, or it flattens them for all thresholds.
     """
     small_batches(docs.sparkSession)
     docs = pick(docs, doc_id="doc_id", text="text")
@@ -160,19 +164,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, split: b
     if not 0 < n_high < n:
         return None
     chosen = _chosen_features(rows, n, n_high, MAX_FEATURES)
-    slot = np.zeros(1 << FEATURE_BITS, np.int32)
-    slot[[r.f for r in chosen]] = np.arange(1, len(chosen) + 1)
-    sign = np.array([False, *(r.high >= 0.9 * r.docs for r in chosen)])
-    wanted = F.array(*(F.lit(r.f) for r in chosen)).cast("array<int>")
-    found = rows.select("grade", F.array_intersect("features", wanted).alias("f"), "n_words").collect()
-    slots = [slot[np.array(r.f, np.int64)] for r in found]
+    # Of features that share a table entry the strongest stays.
+    _, first = np.unique(_entry(np.array([r.f for r in chosen], np.int64).view(np.uint64)), return_index=True)
+    chosen = [chosen[k] for k in np.sort(first)]
+    number = np.array([0, *(r.f for r in chosen)], np.int64).view(np.uint64)
+    slot = np.zeros(1 << TABLE_BITS, np.int32)
+    slot[_entry(number[1:])] = np.arange(1, len(number))
+    wanted = F.array(*(F.lit(r.f) for r in chosen)).cast("array<long>")
+    found = rows.select("grade", F.array_intersect("features", wanted).alias("f")).collect()
+    slots = [slot[_entry(np.array(r.f, np.int64).view(np.uint64))] for r in found]
     grade = np.array([r.grade for r in found])
     grade = np.searchsorted(np.unique(grade), grade)
     if split and grade.max() == 1:
-        share = np.array([sign[s].sum() / max(r.n_words, 1) for s, r in zip(slots, found, strict=True)])
-        grade[(grade == 1) & (share > np.median(share[grade == 1]))] = 2
+        weight, _ = fit_link(slots, grade, len(chosen))
+        score = np.array([weight[s].sum() for s in slots])
+        grade[(grade == 1) & (score > np.median(score[grade == 1]))] = 2
     weight, theta = fit_link(slots, grade, len(chosen))
-    return Model(slot, weight, theta)
+    return Model(slot, number, weight, theta)
 
 
 def predict(model: Model | None, texts: pa.Array) -> np.ndarray:
@@ -180,9 +188,10 @@ def predict(model: Model | None, texts: pa.Array) -> np.ndarray:
     n = len(texts)
     if model is None:
         return np.zeros((n, 1))
-    row, feature, _ = features(texts)
-    slot = model.slot[feature]
-    used = slot > 0
+    row, feature = features(texts)
+    slot = model.slot[_entry(feature)]
+    used = np.flatnonzero(slot)
+    used = used[model.number[slot[used]] == feature[used]]
     slot, first = _distinct(row[used], slot[used], n)
     owner = np.repeat(np.arange(n), np.diff(first))
     score = np.bincount(owner, model.weight[slot], n)
