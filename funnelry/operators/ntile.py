@@ -4,9 +4,9 @@
 the order, so all that is needed are the keys at which a new tile starts: `tiles - 1` of them.
 They are found by narrowing. Each pass is one map-side-combined aggregate over the rows still
 in question, split into a fixed number of value ranges; it brings back at most
-`RANGES * (tiles - 1)` small rows and cuts the candidates by about a factor of RANGES. Once few
-enough rows are left, at most SMALL per border, they are ranked directly. Assigning tiles is then a
-comparison with literals: no join, no shuffle, no window.
+`RANGES * (tiles - 1)` small rows and cuts the candidates by about a factor of RANGES, until a
+single key is left for each border. Assigning tiles is then a comparison with literals: no join, no
+shuffle, no window.
 
 A key shared by very many rows (one price on a third of the table) is one value in these
 aggregates. If rows tie in the whole order they are interchangeable, and a tile border inside
@@ -23,12 +23,10 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RANGES = 1024
-# Candidate rows that may be ranked in one task.
-SMALL = 20_000
 # Rows made by one generator call when copies are written out.
 CHUNK = 100_000
 
@@ -75,29 +73,26 @@ class _Span:
         return span
 
 
-def tile_borders(
-    df: DataFrame, order_by: Sequence[str], tiles: int, small: int = SMALL
-) -> list[Border]:
+def tile_borders(df: DataFrame, order_by: Sequence[str], tiles: int) -> list[Border]:
     """First key of tiles 2, 3, ... in ascending order; fewer if there are fewer rows than tiles.
 
-    `order_by` names numeric columns without NULLs.
+    `order_by` names numeric columns. A NULL has no place in this order and is an error.
     """
+    missing = F.raise_error(F.lit(f"NULL in the order of tiles: {', '.join(order_by)}"))
+    known = " AND ".join(f"`{c}` IS NOT NULL" for c in order_by)
     keys = df.select(*order_by)
+    checked = keys.where(F.when(F.expr(known), True).otherwise(missing.cast("boolean")))
     everything = _Span((), (None,) * len(order_by), 0, 0)
-    found = _narrow(keys, order_by, [everything])[everything]
+    found = _narrow(checked, order_by, [everything])[everything]
     total = sum(s.rows for s in found)
     ranks = [r for r in _first_ranks(total, tiles) if r < total]
     spans = {r: found[0] for r in ranks}
-    while wide := {s for s in spans.values() if s.rows > small and not s.is_key}:
+    while wide := {s for s in spans.values() if not s.is_key}:
         parts = _narrow(keys, order_by, sorted(wide, key=lambda s: s.before))
         for rank, span in spans.items():
             if span in wide:
                 spans[rank] = next(s for s in parts[span] if rank < s.before + s.rows)
-    borders = {r: Border(s.fixed, r, s.before, s.rows) for r, s in spans.items() if s.is_key}
-    open_spans = {r: s for r, s in spans.items() if not s.is_key}
-    if open_spans:
-        borders.update(_rank_directly(keys, order_by, open_spans))
-    return [borders[r] for r in ranks]
+    return [Border(spans[r].fixed, r, spans[r].before, spans[r].rows) for r in ranks]
 
 
 def tile_bounds(order_by: Sequence[str], borders: Sequence[Border]) -> tuple[Column, Column]:
@@ -111,25 +106,29 @@ def tile_bounds(order_by: Sequence[str], borders: Sequence[Border]) -> tuple[Col
 
 
 def with_tiles(
-    df: DataFrame, order_by: Sequence[str], tiles: int, name: str, small: int = SMALL
+    df: DataFrame,
+    order_by: Sequence[str],
+    tiles: int,
+    name: str,
+    borders: Sequence[Border] | None = None,
 ) -> DataFrame:
     """Adds the tile; a row whose ties are split over tiles appears once in each of them.
 
     Right for anything that asks which keys a tile holds (extremes, flags), as long as rows that
-    tie in `order_by` also agree in what is asked. To count rows use `ntile`.
+    tie in `order_by` also agree in what is asked. To count rows use `ntile`. `borders` are those
+    of the same rows, if they have been found before.
     """
-    borders = tile_borders(df, order_by, tiles, small)
+    if borders is None:
+        borders = tile_borders(df, order_by, tiles)
     low, high = tile_bounds(order_by, borders)
     if not any(b.splits_ties for b in borders):
         return df.withColumn(name, low)
     return df.withColumn(name, F.explode(F.sequence(low, high)))
 
 
-def ntile(
-    df: DataFrame, order_by: Sequence[str], tiles: int, name: str, small: int = SMALL
-) -> DataFrame:
+def ntile(df: DataFrame, order_by: Sequence[str], tiles: int, name: str) -> DataFrame:
     """The `order_by` columns of every row with its tile, one output row per input row."""
-    borders = tile_borders(df, order_by, tiles, small)
+    borders = tile_borders(df, order_by, tiles)
     low, high = tile_bounds(order_by, borders)
     keys = df.select(*order_by)
     split = [b for b in borders if b.splits_ties]
@@ -181,39 +180,6 @@ def _narrow(
     return result
 
 
-def _rank_directly(
-    keys: DataFrame, order_by: Sequence[str], spans: dict[int, _Span]
-) -> dict[int, Border]:
-    """Ranks the rows of small spans and keeps those on which a tile starts."""
-    distinct = sorted(set(spans.values()), key=lambda s: s.before)
-    inside = [_inside(order_by, s) for s in distinct]
-    starts = [f"array({', '.join(f'{r}L' for r, own in spans.items() if own == s)})" for s in distinct]
-    in_order = Window.partitionBy("_span").orderBy(*order_by)
-    same_key = in_order.rangeBetween(Window.currentRow, Window.currentRow)
-    found = (
-        keys.select(
-            "*",
-            _case(inside, range(len(distinct)), "_span"),
-            _case(inside, (f"{s.before}L" for s in distinct), "_base"),
-            _case(inside, starts, "_ranks"),
-        )
-        .where(F.col("_span").isNotNull())
-        .select(
-            *order_by,
-            "_ranks",
-            (F.col("_base") + F.row_number().over(in_order) - 1).alias("_rank"),
-            (F.col("_base") + F.rank().over(in_order) - 1).alias("_before"),
-            F.count(F.lit(1)).over(same_key).alias("_ties"),
-        )
-        .where(F.array_contains("_ranks", F.col("_rank")))
-        .collect()  # one row per tile border
-    )
-    return {
-        r["_rank"]: Border(tuple(r[c] for c in order_by), r["_rank"], r["_before"], r["_ties"])
-        for r in found
-    }
-
-
 def _case(conditions: Sequence[str], values: Iterable[Any], name: str) -> Column:
     cases = " ".join(f"WHEN {c} THEN {v}" for c, v in zip(conditions, values))
     return F.expr(f"CASE {cases} END").alias(name)

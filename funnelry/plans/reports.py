@@ -20,7 +20,7 @@ from funnelry.operators.abandonment import abandonment, abandonment_by
 from funnelry.operators.funnel import funnel, funnel_by, stage_bit, stage_flags, step_counts
 from funnelry.operators.gaps import event_gaps
 from funnelry.operators.histogram import histogram, session_sizes, session_spans
-from funnelry.operators.ntile import with_tiles
+from funnelry.operators.ntile import Border, tile_borders, with_tiles
 from funnelry.operators.products import product_carts
 
 # Where a missing key sorts.
@@ -58,10 +58,8 @@ def funnel_by_price_quartile(
     return found.orderBy("price_quartile").limit(tiles)  # all there are
 
 
-def price_quartiles(
-    events: DataFrame, tiebreak: Sequence[str] = (), tiles: int = fv.QUARTILES
-) -> DataFrame:
-    """Q-4 in no particular order.
+def _by_price(events: DataFrame, tiebreak: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Priced events and the columns of their order.
 
     Equal prices on a border are dealt out by the whole-number `tiebreak` columns, then by user
     and stage. Rows that agree in all of these cannot be told apart by the funnel.
@@ -69,10 +67,27 @@ def price_quartiles(
     ties = [F.coalesce(F.col(c), F.lit(LOWEST)) for c in (*tiebreak, "user_id")]
     keys = [k.alias(f"_key{i}") for i, k in enumerate([*ties, F.coalesce(stage_bit(), F.lit(0))])]
     order_by = ["price", *(f"_key{i}" for i in range(len(keys)))]
-    priced = events.where(has_price()).select("price", "user_id", "event_type", *keys)
+    return events.where(has_price()).select("price", "user_id", "event_type", *keys), order_by
+
+
+def price_borders(
+    events: DataFrame, tiebreak: Sequence[str] = (), tiles: int = fv.QUARTILES
+) -> list[Border]:
+    """The borders of the price quartiles; found once, they serve every price statistic."""
+    return tile_borders(*_by_price(events, tiebreak), tiles)
+
+
+def price_quartiles(
+    events: DataFrame,
+    tiebreak: Sequence[str] = (),
+    tiles: int = fv.QUARTILES,
+    borders: Sequence[Border] | None = None,
+) -> DataFrame:
+    """Q-4 in no particular order; `borders` are those of `price_borders`, if known."""
+    priced, order_by = _by_price(events, tiebreak)
     return (
         stage_flags(
-            with_tiles(priced, order_by, tiles, "price_quartile"),
+            with_tiles(priced, order_by, tiles, "price_quartile", borders),
             ["price_quartile", "user_id"],
             F.min("price").alias("low"),
             F.max("price").alias("high"),
