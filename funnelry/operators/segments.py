@@ -46,9 +46,10 @@ def _with_totals(trials: DataFrame) -> DataFrame:
     totals = trials.groupBy("step").agg(
         F.sum("k").alias("all_k"),
         F.sum("n").alias("all_n"),
-        # By name: a plain count would let Spark prune the labels from this side only, and then
-        # the two sides could no longer share the work on the events.
-        F.count_distinct(F.coalesce("segment", F.lit(""))).alias("n_tests"),
+        # Rows, whatever their labels. It looks at the label all the same: a plain count would let
+        # Spark prune the labels from this side only, and then the two sides could no longer
+        # share the work on the events.
+        F.sum(F.when(F.length(F.coalesce("segment", F.lit(""))) >= 0, 1)).alias("n_tests"),
         ones(F.col("n") > 0).alias("groups"),
     )
     return trials.join(F.broadcast(totals), "step")

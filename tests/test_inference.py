@@ -161,6 +161,13 @@ def test_untestable_segments_count_for_the_threshold(trials):
     assert (found[2].rate, found[2].verdict, found[2].ci_low) == (None, fv.NOT_TESTABLE, 0.0)
 
 
+def test_segments_with_the_same_label_count_apart(spark):
+    labels = ["x", "x", "y", None, ""]
+    rows = [(label, i, "s", 10 + i, 100) for i, label in enumerate(labels)]
+    df = spark.createDataFrame(rows, "segment string, position bigint, step string, k bigint, n bigint")
+    assert {r.n_tests for r in seg.versus_rest(df).collect()} == {5}
+
+
 @pytest.mark.parametrize(
     "p, label",
     [
