@@ -93,5 +93,32 @@ def test_gaps_equal_a_plain_lag(events):
     assert counted(df) == plain_gaps(df)
 
 
+def test_gaps_over_days_equal_a_plain_lag(events):
+    draw = random.Random(8)
+    day = 86_400
+    seconds = [draw.choice([0, day - 1, day, 5 * day, draw.randrange(9 * day)]) - 3 * day for _ in range(300)]
+    df = events(*((draw.choice([1, 1, 2, None]), "s", t, "view") for t in seconds))
+    assert counted(df) == plain_gaps(df)
+
+
+def test_a_busy_user_is_spread_over_partitions(spark, events):
+    df = events(*((1, "s", 7_000 * k, "view") for k in range(600)))
+    gaps = event_gaps(df).where("gap_sec = 7000 AND event_ts % 86400 >= 7000")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        sizes = [r["count"] for r in gaps.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(sizes) > 10 and max(sizes) < 0.3 * sum(sizes)
+
+
+def test_events_without_a_time_have_no_gap(events):
+    df = events((1, "s", 5, "view"), (1, "s", 5, "view"))
+    timeless = df.unionByName(df.withColumn("event_ts", F.lit(None).cast("bigint")))
+    assert counted(timeless) == {(1, 5, 0): 1}
+
+
 def test_gaps_of_one_event(events):
     assert counted(events((1, "s", 5, "view"))) == {}
