@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from funnelry.fixed_values import NA_WORDS, TARGET_EVENTS
-from funnelry.functions.sampling import keep_buckets_for, keep_buckets_of, sample_users
+from funnelry.functions.sampling import keep_buckets_for, sample_users
 from funnelry.functions.times import epoch_seconds
 from funnelry.schema import EVENT_COLUMNS, RAW_COLUMNS, RAW_SCHEMA, REQUIRED_COLUMNS
 
-# Quotes are doubled inside quoted fields. A record is one line, which keeps files splittable.
-CSV_OPTIONS = {"header": True, "escape": '"', "mode": "PERMISSIVE"}
-# Lines read to learn how long a line is on average.
-SAMPLE_LINES = 20_000
-
+# Quotes are doubled inside quoted fields. A record is one line unless asked otherwise, which keeps
+# files splittable. A file whose header is not the one that its columns are read by is an error.
+CSV_OPTIONS = {"header": True, "escape": '"', "mode": "PERMISSIVE", "enforceSchema": False}
+# Headers that are read at the same time.
+HEADER_READERS = 16
 
-def file_schema(spark: SparkSession, path: str) -> T.StructType:
-    """The file's own columns in its own order, ours typed, any others as text.
 
-    Only the header is read. Columns that are not asked for are not parsed later.
-    """
-    names = spark.read.options(**CSV_OPTIONS).csv(path).columns
+def schema_of(names: Sequence[str], path: str) -> T.StructType:
+    """Columns in a file's own order, ours typed, any others as text."""
     missing = [c for c in RAW_COLUMNS if c not in names]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")
@@ -30,14 +31,43 @@ def file_schema(spark: SparkSession, path: str) -> T.StructType:
     return T.StructType([known.get(n, T.StructField(n, T.StringType())) for n in names])
 
 
-def read_raw_csv(spark: SparkSession, path: str, na_words: bool = True) -> DataFrame:
-    """The eight raw columns of one or many CSV files with a header.
+def file_schema(spark: SparkSession, path: str) -> T.StructType:
+    """The columns of files that share one header. Only a header is read."""
+    return schema_of(spark.read.options(**CSV_OPTIONS).csv(path).columns, path)
+
+
+def files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of a path by their header. Files are listed, and their first lines read."""
+    listed = spark.read.format("binaryFile").load(path).where("length > 0").select("path")
+    paths = sorted(r.path for r in listed.collect())  # names, not contents
+    header = lambda file: tuple(spark.read.options(**CSV_OPTIONS).csv(file).columns)
+    with ThreadPoolExecutor(HEADER_READERS) as readers:
+        headers = list(readers.map(header, paths))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for names, file in zip(headers, paths):
+        found.setdefault(names, []).append(file)
+    return found
+
+
+def read_raw_csv(
+    spark: SparkSession, path: str, na_words: bool = True, multi_line: bool = False
+) -> DataFrame:
+    """The eight raw columns, by name, of one or many CSV files with headers of any order.
 
     Empty fields are NULL, and with `na_words` so are the usual words for a missing value.
-    Numbers that cannot be read are NULL.
+    Numbers that cannot be read are NULL. With `multi_line`, quoted fields may hold line breaks;
+    a file is then read by one task.
     """
-    raw = spark.read.options(**CSV_OPTIONS).schema(file_schema(spark, path)).csv(path)
-    return blank_to_null(raw.select(*RAW_COLUMNS), na_words)
+    options = CSV_OPTIONS | {"multiLine": multi_line}
+    groups = files_by_header(spark, path)
+    if not groups:
+        return spark.createDataFrame([], RAW_SCHEMA).select(*RAW_COLUMNS)
+    raw = (
+        spark.read.options(**options).schema(schema_of(names, files[0])).csv(files)
+        for names, files in groups.items()
+    )
+    rows = reduce(DataFrame.unionByName, (df.select(*RAW_COLUMNS) for df in raw))
+    return blank_to_null(rows, na_words)
 
 
 def blank_to_null(raw: DataFrame, na_words: bool = True) -> DataFrame:
@@ -60,27 +90,28 @@ def normalise(raw: DataFrame) -> DataFrame:
     )
 
 
+def rejected_rows(raw: DataFrame) -> DataFrame:
+    """One row: raw rows, and those that `normalise` drops because a required field is missing.
+
+    A record that was torn at a line break inside quotes ends up here, once per line.
+    """
+    known = epoch_seconds(F.col("event_time")).isNotNull()
+    known &= F.col("user_id").isNotNull() & F.col("user_session").isNotNull()
+    return raw.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~known).alias("rejected"))
+
+
 def events_from_csv(
-    spark: SparkSession, path: str, keep_buckets: int | None = None, na_words: bool = True
+    spark: SparkSession,
+    path: str,
+    keep_buckets: int | None = None,
+    na_words: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Event rows of the kept users: scan, filter and projection in one stage, no shuffle."""
-    raw = read_raw_csv(spark, path, na_words)
+    raw = read_raw_csv(spark, path, na_words, multi_line)
     return normalise(raw if keep_buckets is None else sample_users(raw, keep_buckets))
 
 
-def estimated_rows(spark: SparkSession, path: str) -> int:
-    """Bytes of all files over the mean length of their first lines.
-
-    File sizes come from the listing; contents are not read for them. Only the lengths of the
-    sampled lines come to the driver, and `take` stops at the first split that has enough; a
-    limit inside a larger plan would start a task on every split.
-    """
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
-    lines = spark.read.text(path).select(F.octet_length("value") + 1).take(SAMPLE_LINES)
-    mean = sum(r[0] for r in lines) / max(len(lines), 1)
-    return int((size or 0) / max(mean, 1.0))
-
-
 def calibration(rows: DataFrame, target_events: int = TARGET_EVENTS) -> DataFrame:
     """(rows, keep_buckets) from a one-row table of the exact number of rows (SRC-5)."""
     return rows.select("rows", keep_buckets_for(F.col("rows"), target_events).alias("keep_buckets"))
@@ -89,5 +120,10 @@ def calibration(rows: DataFrame, target_events: int = TARGET_EVENTS) -> DataFram
 def calibrate_keep_buckets(
     spark: SparkSession, path: str, target_events: int = TARGET_EVENTS
 ) -> int:
-    """How many hash buckets of users to keep to end up near the target."""
-    return keep_buckets_of(min(1.0, target_events / max(estimated_rows(spark, path), 1)))
+    """How many hash buckets of users to keep to end up near the target.
+
+    Counts the rows of all files: one scan without a shuffle, right for lines of any length and for
+    compressed files.
+    """
+    rows = read_raw_csv(spark, path).agg(F.count(F.lit(1)).alias("rows"))
+    return calibration(rows, target_events).first()["keep_buckets"]

@@ -9,8 +9,11 @@ from funnelry.schema import EVENT_COLUMNS, EVENT_SCHEMA
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The table with its fixed schema; nothing is inferred, files are not opened for it."""
-    return spark.read.schema(EVENT_SCHEMA).parquet(path)
+    """The table with its fixed schema; nothing is inferred, files are not opened for it.
+
+    Files may lie in subfolders, where the incremental load puts its batches.
+    """
+    return spark.read.schema(EVENT_SCHEMA).option("recursiveFileLookup", True).parquet(path)
 
 
 def write_events(events: DataFrame, path: str, compact: bool = False) -> dict[str, int]:

@@ -2,45 +2,64 @@
 
 Sampling, time parsing and filtering are plain column expressions, so they run on a stream
 unchanged and hold no state. Progress lives in a checkpoint on shared storage; after a crash the
-next run goes on with the first batch that was not finished.
+next run goes on with the first batch that was not finished. A batch is written to a folder of its
+own below the table and replaces it if it is run again, so a batch counts once, and the table may
+also hold rows of `event_table.write_events` and of other streams.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from funnelry.functions.sampling import sample_users
-from funnelry.schema import RAW_COLUMNS
+from funnelry.schema import EVENT_COLUMNS, RAW_COLUMNS
 from funnelry.sources.csv_events import CSV_OPTIONS, blank_to_null, file_schema, normalise
 
 
 def stream_events(
-    spark: SparkSession, path: str, keep_buckets: int, files_per_batch: int | None = None
+    spark: SparkSession, source: str, keep_buckets: int, files_per_batch: int | None = None
 ) -> DataFrame:
-    """A stream of event rows of the kept users. `path` is a folder of files with one header."""
-    reader = spark.readStream.options(**CSV_OPTIONS).schema(file_schema(spark, path))
+    """A stream of event rows of the kept users. `source` is a folder of files with one header;
+    a file with another one stops the stream."""
+    reader = spark.readStream.options(**CSV_OPTIONS).schema(file_schema(spark, source))
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    raw = blank_to_null(reader.csv(path).select(*RAW_COLUMNS))
+    raw = blank_to_null(reader.csv(source).select(*RAW_COLUMNS))
     return normalise(sample_users(raw, keep_buckets))
 
 
-def append_events(stream: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Appends everything that has arrived, then stops.
+def stream_name(source: str, path: str) -> str:
+    """A name for the way from one source to one table that is right for any file system."""
+    ends = (end.rstrip("/") for end in (source, path))
+    return hashlib.sha256("\n".join(ends).encode()).hexdigest()[:32]
+
+
+def append_events(
+    stream: DataFrame, source: str, path: str, checkpoint: str | None = None
+) -> StreamingQuery:
+    """Appends everything that has arrived from `source` to the table at `path`, then stops.
 
-    The checkpoint defaults to a folder under the session's `spark.checkpoint.dir`.
+    The checkpoint defaults to a folder under the session's `spark.checkpoint.dir`, one for each
+    pair of source and table.
     """
+    name = stream_name(source, path)
     if checkpoint is None:
         root = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
         if root is None:
             raise ValueError("set spark.checkpoint.dir or pass a checkpoint folder")
-        checkpoint = f"{root.rstrip('/')}/append_events/{path.strip('/').replace('/', '_')}"
+        checkpoint = f"{root.rstrip('/')}/append_events/{name}"
+    folder = f"{path.rstrip('/')}/stream-{name}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.select(*EVENT_COLUMNS)
+        rows.write.mode("overwrite").parquet(f"{folder}/batch-{number:012d}")
+
     return (
-        stream.writeStream.format("parquet")
-        .option("path", path)
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

@@ -1,5 +1,6 @@
 """Raw files to the stored table (SRC-1..16) and the load in steps."""
 
+import gzip
 import hashlib
 
 import pytest
@@ -11,7 +12,7 @@ from funnelry.functions.sampling import keep_buckets_for, keep_buckets_of, sampl
 from funnelry.functions.times import display_time, epoch_seconds
 from funnelry.schema import EVENT_COLUMNS, EVENT_SCHEMA
 from funnelry.sources import csv_events, event_table
-from funnelry.streaming.ingest import append_events, stream_events
+from funnelry.streaming.ingest import append_events, stream_events, stream_name
 
 HEADER = "event_time,extra,event_type,product_id,category_code,brand,price,user_id,user_session"
 LINES = [
@@ -112,9 +113,39 @@ def test_fraction_by_target(spark, rows, target, buckets):
     assert found == buckets
 
 
-def test_estimated_rows_of_a_small_file(spark, raw):
-    assert csv_events.estimated_rows(spark, str(raw)) == len(LINES) + 1
-    assert csv_events.calibrate_keep_buckets(spark, str(raw), 2) == 2500
+def test_calibration_counts_rows(spark, raw):
+    # The reader drops no line, not even one that the load rejects later.
+    assert csv_events.calibrate_keep_buckets(spark, str(raw), 2) == 2857
+
+
+@pytest.mark.parametrize("gz", [False, True])
+def test_calibration_with_uneven_lines(spark, tmp_path, gz):
+    short = "2019-11-01 00:00:07 UTC,x,view,1,a,b,1.0,3,s"
+    text = "\n".join([HEADER, *[short] * 20_001, *[short + "x" * 300] * 19_999]) + "\n"
+    data = gzip.compress(text.encode()) if gz else text.encode()
+    (tmp_path / ("a.csv.gz" if gz else "a.csv")).write_bytes(data)
+    assert csv_events.calibrate_keep_buckets(spark, str(tmp_path), 4_000) == 1_000
+
+
+def test_columns_are_found_by_name_in_every_file(spark, raw):
+    names = HEADER.split(",")[::-1]
+    values = "s7,520088904,2.5,acme,a.b,10,cart,x,2019-11-01 00:00:12 UTC"
+    (raw / "b.csv").write_text(",".join(names) + "\n" + values + "\n")
+    (raw / "c.csv").write_text("")
+    found = {tuple(r) for r in csv_events.events_from_csv(spark, str(raw)).collect()}
+    assert found == EXPECTED | {
+        ("2019-11-01 00:00:12 UTC", 1572566412, "cart", 10, "a.b", "acme", 2.5, 520088904, "s7")
+    }
+
+
+def test_torn_records_are_counted_or_read(spark, tmp_path):
+    record = '2019-11-01 00:00:07 UTC,x,view,10,"a\nb",acme,4.5,520088904,s1'
+    (tmp_path / "a.csv").write_text("\n".join([HEADER, LINES[0], record]) + "\n")
+    torn = csv_events.read_raw_csv(spark, str(tmp_path))
+    assert tuple(csv_events.rejected_rows(torn).first()) == (3, 2)
+    whole = csv_events.read_raw_csv(spark, str(tmp_path), multi_line=True)
+    assert tuple(csv_events.rejected_rows(whole).first()) == (2, 0)
+    assert "a\nb" in {r.category_code for r in whole.collect()}
 
 
 def test_write_replaces_and_reports(spark, raw, tmp_path):
@@ -164,7 +195,8 @@ def test_load_in_steps(spark, raw, tmp_path):
     for name in (None, "b.csv"):
         if name:
             (raw / name).write_text(f"{HEADER}\n2019-11-02 00:00:00 UTC,x,view,1,a,b,1.0,3,s9\n")
-        append_events(stream_events(spark, str(raw), HASH_SPACE, 1), out, checkpoint).awaitTermination()
+        stream = stream_events(spark, str(raw), HASH_SPACE, 1)
+        append_events(stream, str(raw), out, checkpoint).awaitTermination()
     found = {tuple(r) for r in event_table.read_events(spark, out).collect()}
     assert found == EXPECTED | {
         ("2019-11-02 00:00:00 UTC", 1572652800, "view", 1, "a", "b", 1.0, 3, "s9")
@@ -175,7 +207,40 @@ def test_load_in_steps(spark, raw, tmp_path):
 def test_load_in_steps_uses_the_sessions_checkpoint_folder(spark, raw, tmp_path):
     out = str(tmp_path / "out")
     for _ in range(2):
-        append_events(stream_events(spark, str(raw), HASH_SPACE), out).awaitTermination()
+        append_events(stream_events(spark, str(raw), HASH_SPACE), str(raw), out).awaitTermination()
+    assert event_table.read_events(spark, out).count() == 3
+
+
+def appended(spark, source, out):
+    append_events(stream_events(spark, str(source), HASH_SPACE), str(source), out).awaitTermination()
+    return event_table.read_events(spark, out).count()
+
+
+def test_steps_add_to_a_written_table(spark, raw, tmp_path, events):
+    out = str(tmp_path / "out")
+    event_table.write_events(events(*((i, "s", i, "view") for i in range(5))), out)
+    assert appended(spark, raw, out) == 8
+
+
+def test_two_sources_fill_one_table(spark, raw, tmp_path):
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "b.csv").write_text(f"{HEADER}\n2019-11-02 00:00:00 UTC,x,view,1,a,b,1.0,3,s9\n")
+    out = str(tmp_path / "out")
+    assert appended(spark, raw, out) == 3 and appended(spark, other, out) == 4
+
+
+def test_tables_with_like_names_have_progress_of_their_own(spark, raw, tmp_path):
+    assert appended(spark, raw, str(tmp_path / "o/a_b")) == 3
+    assert appended(spark, raw, str(tmp_path / "o/a/b")) == 3
+    assert ":" not in stream_name("hdfs://x:1/a", "s3://b/c")
+
+
+def test_a_batch_that_is_run_again_counts_once(spark, raw, tmp_path):
+    out = str(tmp_path / "out")
+    for checkpoint in ("one", "two"):  # the second knows nothing of the first
+        stream = stream_events(spark, str(raw), HASH_SPACE)
+        append_events(stream, str(raw), out, str(tmp_path / checkpoint)).awaitTermination()
     assert event_table.read_events(spark, out).count() == 3
 
 
