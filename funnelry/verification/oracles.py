@@ -287,18 +287,19 @@ tidy AS (
   FROM (SELECT *, try_strptime(replace(event_time, ' UTC', ''), '%Y-%m-%d %H:%M:%S') AS t FROM raw)
   WHERE t IS NOT NULL AND user_id IS NOT NULL AND user_session IS NOT NULL)"""
 
+# The published bounds and labels of the reports' buckets.
 EPS_CASES = """WHEN n_events = 1 THEN '1' WHEN n_events = 2 THEN '2'
-  WHEN n_events BETWEEN 3 AND 5 THEN '3-5' WHEN n_events BETWEEN 6 AND 10 THEN '6-10'
-  WHEN n_events BETWEEN 11 AND 20 THEN '11-20' ELSE '21+'"""
+  WHEN n_events <= 5 THEN '3-5' WHEN n_events <= 10 THEN '6-10'
+  WHEN n_events <= 20 THEN '11-20' ELSE '21+'"""
 SPAN_CASES = """WHEN duration_sec = 0 THEN '0s (single event)'
-  WHEN duration_sec <= 59 THEN '< 1 min' WHEN duration_sec <= 299 THEN '1-5 min'
-  WHEN duration_sec <= 1799 THEN '5-30 min' WHEN duration_sec <= 7199 THEN '30 min - 2 h'
+  WHEN duration_sec < 60 THEN '< 1 min' WHEN duration_sec < 300 THEN '1-5 min'
+  WHEN duration_sec < 1800 THEN '5-30 min' WHEN duration_sec < 7200 THEN '30 min - 2 h'
   ELSE '> 2 h (suspicious)'"""
-GAP_CASES = """WHEN gap_sec = 0 THEN '0s (same second)' WHEN gap_sec <= 59 THEN '< 1 min'
-  WHEN gap_sec <= 599 THEN '1-10 min' WHEN gap_sec <= 1799 THEN '10-30 min'
-  WHEN gap_sec <= 86399 THEN '30 min - 24 h' ELSE '> 24 h (returned another day)'"""
-DELAY_CASES = """WHEN delay <= 599 THEN '< 10 min' WHEN delay <= 3599 THEN '10-60 min'
-  WHEN delay <= 86399 THEN '1-24 h' WHEN delay <= 604799 THEN '1-7 days' ELSE '> 7 days'"""
+GAP_CASES = """WHEN gap_sec = 0 THEN '0s (same second)' WHEN gap_sec < 60 THEN '< 1 min'
+  WHEN gap_sec < 600 THEN '1-10 min' WHEN gap_sec < 1800 THEN '10-30 min'
+  WHEN gap_sec < 86400 THEN '30 min - 24 h' ELSE '> 24 h (returned another day)'"""
+DELAY_CASES = """WHEN delay < 600 THEN '< 10 min' WHEN delay < 3600 THEN '10-60 min'
+  WHEN delay < 86400 THEN '1-24 h' WHEN delay < 604800 THEN '1-7 days' ELSE '> 7 days'"""
 
 
 def all_oracles() -> dict[str, str]:
@@ -359,6 +360,17 @@ UNION ALL SELECT 'users with purchase but no view (ever)', {_without_view("user_
         "sample_users": _query(
             f"SELECT event_id, event_ts, event_type, user_id, user_session FROM shop WHERE {IN_SAMPLE}"
         ),
+        "sample_fraction": _query(
+            "SELECT event_id, user_id FROM shop WHERE "
+            "CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 2500"
+        ),
+        "clustered_layout": _query("SELECT event_id, user_id, event_ts, event_type, price FROM shop"),
+        "blank_to_null": _query(
+            """SELECT event_id, nullif(event_time, '') AS event_time, event_type, product_id,
+  nullif(category_code, '') AS category_code,
+  CASE WHEN event_id % 12 IN (3, 4) THEN NULL ELSE nullif(brand, '') END AS brand,
+  CASE WHEN event_id % 12 <> 5 THEN price END AS price, user_id, user_session FROM shop"""
+        ),
         "calibrate_keep_buckets": _query(
             """SELECT count(*) AS rows, greatest(1, CAST(round_even(
   least(1.0::DOUBLE, 2000.0::DOUBLE / greatest(count(*), 1)) * 10000, 0) AS BIGINT)) AS keep_buckets FROM shop"""

@@ -7,6 +7,7 @@ two engines can be compared; the library returns them in full.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,21 +16,23 @@ from pyspark.sql import functions as F
 from funnelry import fixed_values as fv
 from funnelry.functions.events import brand_label, category_label, has_price, top_category
 from funnelry.functions.numbers import round_to
-from funnelry.functions.sampling import sample_users
+from funnelry.functions.sampling import keep_buckets_of, sample_users
 from funnelry.functions.times import display_time
 from funnelry.operators import gaps, quality, timing
 from funnelry.operators.funnel import stage_flags
 from funnelry.operators.ntile import ntile
 from funnelry.plans import inference, reports, rollup
-from funnelry.sources.csv_events import calibration, normalise
+from funnelry.schema import RAW_COLUMNS
+from funnelry.sources.csv_events import blank_to_null, calibration, normalise
 from funnelry.sources.driver_events import clickstream
-from funnelry.sources.event_table import load_report
+from funnelry.sources.event_table import clustered, load_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TIEBREAK = ("event_id",)
 SAMPLE_BUCKETS = 3000
 SAMPLE_TARGET = 2000
+SAMPLE_FRACTION = 0.25
 DIGITS = 8
 
 
@@ -56,6 +59,23 @@ def sampled(events: DataFrame) -> DataFrame:
     )
 
 
+def sampled_by_fraction(events: DataFrame) -> DataFrame:
+    return sample_users(events, keep_buckets_of(SAMPLE_FRACTION)).select("event_id", "user_id")
+
+
+def laid_out(events: DataFrame) -> DataFrame:
+    return clustered(events).select("event_id", "user_id", "event_ts", "event_type", "price")
+
+
+def blanked(events: DataFrame) -> DataFrame:
+    """The raw columns with the words for a missing value that a file might hold."""
+    kind = F.col("event_id") % 12
+    brand = F.when(kind == 3, "n/a").when(kind == 4, "None").otherwise(F.col("brand"))
+    price = F.when(kind == 5, F.lit(float("nan"))).otherwise(F.col("price"))
+    raw = events.withColumns({"brand": brand, "price": price})
+    return blank_to_null(raw.select("event_id", *RAW_COLUMNS))
+
+
 def calibrated(events: DataFrame) -> DataFrame:
     return calibration(events.agg(F.count(F.lit(1)).alias("rows")), SAMPLE_TARGET)
 
@@ -91,9 +111,9 @@ def categories(events: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("events"))
 
 
-def price_tiles(events: DataFrame, **how: int) -> DataFrame:
+def price_tiles(events: DataFrame) -> DataFrame:
     priced = events.where(has_price())
-    return ntile(priced, ["price", *TIEBREAK], fv.QUARTILES, "price_quartile", **how)
+    return ntile(priced, ["price", *TIEBREAK], fv.QUARTILES, "price_quartile")
 
 
 def untracked(events: DataFrame) -> DataFrame:
@@ -146,6 +166,9 @@ def over_events() -> dict[str, Callable[[DataFrame], DataFrame]]:
         "top_segments": lambda e: reports.funnel_by_category(e, min_viewers=380, limit=5),
         "top_products": lambda e: reports.top_abandoned_products(e, min_cart_adds=20, limit=5),
         "sample_users": sampled,
+        "sample_fraction": sampled_by_fraction,
+        "clustered_layout": laid_out,
+        "blank_to_null": blanked,
         "calibrate_keep_buckets": calibrated,
         "normalise_events": normalised,
         "load_report": loaded,
@@ -153,8 +176,8 @@ def over_events() -> dict[str, Callable[[DataFrame], DataFrame]]:
         "top_category": categories,
         "segment_label": price_labels,
         "price_ntile": price_tiles,
-        # The same with the borders narrowed down to the end, as on a large table.
-        "price_ntile_scalable": lambda e: price_tiles(e, small=0),
+        # The same operator under its earlier name.
+        "price_ntile_scalable": price_tiles,
         "event_gaps": gaps.event_gaps,
         "first_times": timing.first_times,
         "same_session_converters": timing.same_session_users,
@@ -167,8 +190,6 @@ def over_events() -> dict[str, Callable[[DataFrame], DataFrame]]:
         "abandonment_rates": lambda e: _intervals(inference.abandonment_rates(e)),
         "significant_segments": lambda e: inference.significant_segments(e, TIEBREAK),
     }
-    for name, report in rollup.ROLLUP_REPORTS.items():
-        found[f"rollup_{name}"] = lambda e, report=report: report(rollup.session_rollup(e))
     for split in SPLITS:
         found[f"segment_rate_series_{split}"] = lambda e, split=split: _series(e, split)
         for key, step in STEP_KEYS.items():
@@ -181,5 +202,32 @@ def _reading(query: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: query(clickstream(spark, sf_dir))
 
 
+def over_rollup() -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """The queries that need only the summary per user and session."""
+    return {f"rollup_{name}": report for name, report in rollup.ROLLUP_REPORTS.items()}
+
+
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a folder's events: stored by the first query that asks for it, then read.
+
+    It lies in the session's shared folder, under the application and the folder of the tables.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        return rollup.session_rollup(clickstream(spark, sf_dir))
+    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/summary-{name}"
+    if path not in _stored:
+        rollup.store_rollup(clickstream(spark, sf_dir), path)
+        _stored.add(path)
+    return rollup.read_rollup(spark, path)
+
+
+_stored: set[str] = set()
+
+
 def all_queries() -> dict[str, Query]:
-    return {name: _reading(query) for name, query in over_events().items()}
+    found = {name: _reading(query) for name, query in over_events().items()}
+    for name, report in over_rollup().items():
+        found[name] = lambda spark, sf_dir, report=report: report(summary(spark, sf_dir))
+    return found
