@@ -9,6 +9,60 @@ LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A-Z only; other letters stay as they are.
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP1 = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{SPACED}') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+  WHERE 100 * pairs.n >= 85 * (a.n + b.n - pairs.n)
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id AS id, doc_id AS root FROM documents
+  UNION SELECT edges.y, reach.root FROM reach JOIN edges ON edges.x = reach.id
+), named AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN named ON id = doc_id
+"""
+
+#: Text as hexadecimal digits, in pieces of 500 bytes and the 49 that follow.
+OP4 = """
+WITH docs AS (
+  SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n_bytes FROM documents
+), pieces AS (
+  SELECT doc_id, n_bytes, base, substr(h, 2 * base + 1, 1098) AS piece
+  FROM (SELECT *, unnest(range(0, n_bytes, 500)) AS base FROM docs)
+), places AS (
+  SELECT doc_id, n_bytes, base + k AS p, substr(piece, 2 * k - 1, 2) AS byte,
+    CASE WHEN base + k <= n_bytes - 49 THEN substr(piece, 2 * k - 1, 100) END AS string
+  FROM (SELECT *, unnest(range(1, least(500, n_bytes - base) + 1)) AS k FROM pieces)
+), least AS (
+  SELECT string, min(doc_id) AS first_id FROM places WHERE string IS NOT NULL GROUP BY string
+), marked AS (
+  SELECT places.*, coalesce(first_id < doc_id, false) AS starts FROM places LEFT JOIN least USING (string)
+), covered AS (
+  SELECT *, max(starts) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM marked
+), edged AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM covered
+), summed AS (
+  SELECT doc_id, count_if(gone)::BIGINT AS n_removed, count_if(begins)::BIGINT AS n_spans,
+    coalesce(string_agg(byte, '' ORDER BY p) FILTER (NOT gone), '') AS kept
+  FROM edged GROUP BY doc_id
+)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM docs LEFT JOIN summed USING (doc_id)
+"""
+
 OP2 = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -145,8 +199,10 @@ FROM mixed
 
 def all_oracles() -> dict[str, str]:
     return {
+        "op1_near_duplicates": OP1,
         "op2_chat_format": OP2,
         "op3_warc_archive": OP3,
+        "op4_repeated_passages": OP4,
         "op6_decontamination": OP6,
         "op9_threshold_topk": OP9,
         "op10_mixture": OP10,

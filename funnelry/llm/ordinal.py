@@ -113,7 +113,8 @@ def _chosen_features(rows: DataFrame, n: int, n_high: int, max_features: int) ->
 def fit_link(rows: list[np.ndarray], grade: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by Adam on the mean negative log-likelihood plus an L2 penalty.
 
-    Slot 0 keeps weight 0. Thresholds are one base and logarithms of the gaps between them.
+    Slot 0 keeps weight 0. Thresholds are one base and logarithms of the gaps between them; the base
+    is held where a text without any feature is no more likely to be toxic than texts are at large.
     """
     top = int(grade.max())
     sizes = np.fromiter((len(r) for r in rows), np.int64, len(rows))
@@ -121,7 +122,7 @@ def fit_link(rows: list[np.ndarray], grade: np.ndarray, n_features: int) -> tupl
     owner = np.repeat(np.arange(len(rows)), sizes)
     weight, base, gaps = np.zeros(n_features + 1), np.zeros(1), np.zeros(top - 1)
     share = np.clip(np.mean(grade > 0), 1e-3, 1 - 1e-3)
-    base[0] = np.log(1 / share - 1)
+    base[0] = least = np.log(1 / share - 1)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (weight, base, gaps)]
     n = len(rows)
     for step in range(1, STEPS + 1):
@@ -146,6 +147,7 @@ def fit_link(rows: list[np.ndarray], grade: np.ndarray, n_features: int) -> tupl
             v += 0.001 * (g * g - v)
             rate = 0.1 / (1 + step / 500)
             param += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        base[0] = max(base[0], least)
     return weight, base[0] + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
