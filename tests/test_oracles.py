@@ -5,6 +5,8 @@ import pytest
 from conftest import DATA
 
 import __spark_entry__ as entry
+from funnelry.verification.oracles import all_oracles
+from funnelry.verification.queries import all_queries
 
 FOLDER = DATA / "sf0.001"
 TYPES = {
@@ -26,10 +28,15 @@ def ordered(rows):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
 
 
-@pytest.mark.parametrize("name", entry.queries())
+def test_every_query_is_registered():
+    assert set(all_queries()) <= set(entry.queries())
+    assert set(all_oracles()) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", all_queries())
 def test_same_rows(spark, duck, name):
     df = entry.queries()[name](spark, str(FOLDER))
     expected = duck.execute(entry.oracle_sql()[name])
