@@ -145,7 +145,7 @@ def fit_link(rows: list[np.ndarray], grade: np.ndarray, n_features: int) -> tupl
         for param, g, (m, v) in zip((weight, base, gaps), grads, state, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            rate = 0.1 / (1 + step / 500)
+            rate = 0.1 * (1 - step / STEPS) + 1e-3
             param += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         base[0] = max(base[0], least)
     return weight, base[0] + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
@@ -174,6 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, split: b
     slot[_entry(number[1:])] = np.arange(1, len(number))
     wanted = F.array(*(F.lit(r.f) for r in chosen)).cast("array<long>")
     found = rows.select("grade", F.array_intersect("features", wanted).alias("f")).collect()
+    found.sort(key=lambda r: (r.grade, r.f))  # the same sums in every run
     slots = [slot[_entry(np.array(r.f, np.int64).view(np.uint64))] for r in found]
     grade = np.array([r.grade for r in found])
     grade = np.searchsorted(np.unique(grade), grade)
