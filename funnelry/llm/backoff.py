@@ -5,7 +5,7 @@ history loses its first word and the score a factor of 0.4; a word that is not s
 once. Counts are those of all other documents: a document's own n-grams are taken off, so it cannot
 vouch for itself. A document's score is the sum of the logarithms over its words.
 
-The texts are dealt over chunks of some 16 MB. Each chunk sends its distinct n-grams, by hash, to
+The texts are dealt over chunks of some 8 MB. Each chunk sends its distinct n-grams, by hash, to
 partitions of the count table, which add up what all chunks sent and answer each chunk with the
 totals; the join of chunks and answers then scores every word. A frequent n-gram is one entry per
 chunk, however often it occurs. N-grams are told apart by 64-bit hashes.
@@ -32,7 +32,7 @@ from funnelry.llm.text import BETWEEN_SPACES, mix, runs, slices, words_of
 
 ORDER = 2
 BACKOFF = 0.4
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 MIN_CHUNKS = 16
 MIN_PARTITIONS = 64
 
