@@ -8,6 +8,11 @@ from funnelry.llm import chosen_path, mixing, ordinal, queries, suffix_ranks, wu
 from funnelry.llm.stores import new_path
 
 
+#: Near copies of the stage, in hundredths of similarity, and trees that lose few of them at that bound.
+SIMILAR = 80
+TREES = 14
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that are more likely toxic than not; the model learns from all labels."""
     labelled = queries.table(spark, sf_dir, "documents")
@@ -15,8 +20,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    return chosen_path.deduplicated(docs)
+    """Keeps one document of each group of near duplicates, from a similarity of 0.8 on."""
+    return chosen_path.deduplicated(docs, trees=TREES, similar=SIMILAR)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,17 +6,18 @@ component of links that each document is in.
 
 Documents with equal sets are one node. A set's signature has 64 minwise tokens. Each of several
 independent trees starts with all nodes together and branches recursively: a tree node chooses at
-random one of the signature's places, and a second one so often that 1 / similarity are chosen on
-average, and sends each member to the child named by its minwise token there. Children with one
+random 1 / similarity of the signature's places (one, and at 0.85 a second one so often that this is
+the average), and sends each member to the child named by its minwise token there. Children with one
 member end. Small ones are compared exhaustively by signature; large ones branch again, and what is
 still large after the last level counts as alike. Members found alike form clusters, and all sets of
 a cluster are compared in full, so every link of the result is confirmed. A cluster with more
 bytes than a task should hold is cut into blocks and each pair of blocks compared by a task; from
 a group of copies only the links of a spanning tree are given out, never all pairs.
 
-Two sets at the similarity bound share a child with probability 0.85 or more in each of 12 trees
-while nodes are small, so that a link is missed less often than once in 10**9; over a path of
-several levels once in some 10**4.
+Two sets at the similarity bound share a child with at least that probability in each of 12 trees
+while nodes are small, so that no tree brings them together less often than once in 10**9; over a
+path of six levels once in some 10**4 (at 0.80 with 14 trees). Their signatures then differ too much
+about once in 10**5. The bound is a parameter, `similar`; what follows from it is derived from it.
 
 Edge cases: NULL and empty texts have no set, and rows without id no links; they are in a component
 of their own and kept. Rows that share an id count as one node that has all links of its rows.
@@ -24,6 +25,7 @@ of their own and kept. Rows that share an id count as one node that has all link
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +46,8 @@ TREES = 12
 LEVELS = 6
 #: Members of a tree node that are compared with each other.
 SMALL = 128
-#: Equal places of two signatures from which sets are compared; 4.5 deviations below the bound.
-ALIKE = 42
+#: Deviations below the expected equal places of two signatures from which sets are compared.
+DEVIATIONS = 4.5
 #: Set bytes of a block of a cluster.
 BLOCK_BYTES = 24 << 20
 #: Rows of a batch get numbers in the bits above a shingle's.
@@ -127,13 +129,20 @@ def _child(node: Column, turn: int) -> Column:
 
 
 def _children(node: Column, similar: int) -> Column:
-    """One child, and a second one for the share of nodes that 1 / similarity leaves."""
-    more = F.pmod(F.xxhash64(node, F.lit("more")), F.lit(similar)) < 100 - similar
-    second = F.when(more, F.array(_child(node, 1))).otherwise(F.array().cast("array<bigint>"))
-    return F.concat(F.array(_child(node, 0)), second)
+    """As many children as 1 / similarity has wholes, and one more for the share of nodes that it leaves."""
+    whole, rest = divmod(100, similar)
+    more = F.pmod(F.xxhash64(node, F.lit("more")), F.lit(similar)) < rest
+    last = F.when(more, F.array(_child(node, whole))).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(F.array(*(_child(node, turn) for turn in range(whole))), last)
 
 
-def _alike(tokens: np.ndarray, found: np.ndarray) -> np.ndarray:
+def least_alike(similar: int) -> int:
+    """Equal places of two signatures from which sets are compared: 41 at 0.85, 36 at 0.80."""
+    share = similar / 100
+    return max(0, math.floor(PLACES * share - DEVIATIONS * math.sqrt(PLACES * share * (1 - share))))
+
+
+def _alike(tokens: np.ndarray, found: np.ndarray, least_equal: int) -> np.ndarray:
     """The first member of its part of each group that every member is connected to."""
     sizes = np.diff(found)
     label = np.arange(len(tokens))
@@ -144,7 +153,7 @@ def _alike(tokens: np.ndarray, found: np.ndarray) -> np.ndarray:
         step = max(1, (1 << 18) // max(len(i), 1))
         for k in range(0, len(at), step):
             a, b = ((at[k : k + step, None] + x).ravel() for x in (i, j))
-            near = (tokens[a] == tokens[b]).sum(1) >= ALIKE
+            near = (tokens[a] == tokens[b]).sum(1) >= least_equal
             left.append(a[near])
             right.append(b[near])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
@@ -156,14 +165,15 @@ def _alike(tokens: np.ndarray, found: np.ndarray) -> np.ndarray:
         np.minimum.at(label, b, least)
 
 
-def _small_nodes(rows: DataFrame) -> DataFrame:
+def _small_nodes(rows: DataFrame, similar: int) -> DataFrame:
     """Edges (a, b) between members of small nodes that their signatures connect."""
+    least_equal = least_alike(similar)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, found in whole_groups(batches, ["node"]):
             ids = table["id"].to_numpy()
             tokens = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16)
-            label = _alike(tokens.reshape(-1, PLACES), found)
+            label = _alike(tokens.reshape(-1, PLACES), found, least_equal)
             moved = np.flatnonzero(label != np.arange(len(label)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[label[moved]]), pa.array(ids[moved])], ["a", "b"]
@@ -186,7 +196,7 @@ def candidates(nodes: DataFrame, trees: int = TREES, similar: int = SIMILAR) ->
         slim = stored(slim, "members")
         small, large = (slim.where(c).withColumnRenamed("id", "i") for c in (f"members <= {SMALL}", f"members > {SMALL}"))
         full = lambda part: part.join(nodes, F.col("i") == F.col("id"))
-        edges.append(stored(_small_nodes(full(small).select("id", "node", "signature")), "alike"))
+        edges.append(stored(_small_nodes(full(small).select("id", "node", "signature"), similar), "alike"))
         if large.isEmpty():
             break
         if level == LEVELS - 1:

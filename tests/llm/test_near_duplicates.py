@@ -99,6 +99,15 @@ def test_kept_documents_have_their_columns(spark, documents):
     assert sorted(str(r[0]) for r in kept.collect()) == ["2", "4", "None"]
 
 
+def test_equal_places_follow_the_bound():
+    assert [chosen_path.least_alike(s) for s in (85, 80, 50, 10)] == [41, 36, 14, 0]
+
+
+def test_low_bound_as_all_pairs(spark, documents):
+    rows = [(i, t) for i, t in enumerate(variants(40, 6, 60, 9))]
+    assert ordered(found(chosen_path.near_duplicates(documents(*rows), similar=40))) == ordered(brute(rows, 40))
+
+
 def test_spanning_links_are_few():
     sets = np.tile(np.arange(50, dtype=np.uint64), 200)
     links = chosen_path.spanning_links(np.arange(200), sets, np.arange(201) * 50, 85)

@@ -80,3 +80,17 @@ def test_stages_take_odd_tables(spark, folder):
         assert stage(spark, odd, path).count() == 3
     assert mixing.mixed_documents(odd).collect() == []
     assert ordinal.accepted(odd, None).count() == 3
+
+
+def test_near_copies_from_four_fifths_on(spark, folder):
+    """Pairs of 200 shingles, of which a changed end leaves just 0.80 to 0.85, and just less than 0.80."""
+    words = lambda i, n: [f"p{i}w{k}" for k in range(n)]
+    rows, expected = [], []
+    for i in range(60):
+        # m of 200 shingles changed: (200 - m) / (200 + m) is 0.802 at 22, 0.843 at 17 and 0.794 at 23.
+        m = (22, 20, 17, 23)[i % 4]
+        rows += [(2 * i, " ".join(words(i, 204))), (2 * i + 1, " ".join(words(i, 204 - m) + [f"end{i}x{k}" for k in range(m)]))]
+        expected += [2 * i, 2 * i + 1] if m == 23 else [2 * i]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, folder[0])
+    assert sorted(r.doc_id for r in kept.collect()) == expected
