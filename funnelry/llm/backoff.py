@@ -6,7 +6,7 @@ once. Counts are those of all other documents: a document's own n-grams are take
 vouch for itself. A document's score is the sum of the logarithms over its words.
 
 The texts are dealt over chunks of some 8 MB. Each chunk sends its distinct n-grams, by hash, to
-partitions of the count table, which add up what all chunks sent and answer each chunk with the
+partitions of the count table (sorted, as compressed differences), which add up what all chunks sent and answer each chunk with the
 totals; the join of chunks and answers then scores every word. A frequent n-gram is one entry per
 chunk, however often it occurs. N-grams are told apart by 64-bit hashes.
 
@@ -30,7 +30,7 @@ from funnelry.llm.grouped import together, whole_groups
 from funnelry.llm.stores import pick, small_batches, stored
 from funnelry.llm.text import BETWEEN_SPACES, mix, runs, slices, words_of
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 CHUNK_BYTES = 8 << 20
 MIN_CHUNKS = 16
@@ -73,6 +73,18 @@ def _sliced(table: pa.Table, column: str) -> list[pa.Array]:
     ]
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers, byte place after byte place and compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(data[:4], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(data[4:], n * size, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
+
+
 def _send(order: int, n_parts: int):
     """(part, chunk, words, numbers, counts): the distinct n-grams of a chunk for one partition."""
 
@@ -90,7 +102,7 @@ def _send(order: int, n_parts: int):
                 words[0] = sizes.sum()
                 for p in range(n_parts):
                     own = slice(first[p], first[p + 1])
-                    row = (p, chunk, int(words[p]), number[own].tobytes(), count[own].astype(np.uint32).tobytes())
+                    row = (p, chunk, int(words[p]), packed(np.diff(number[own], prepend=np.uint64(0))), packed(count[own].astype(np.uint32)))
                     types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
                     arrays = [pa.array([x], t) for x, t in zip(row, types, strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays, ["part", "chunk", "words", "numbers", "counts"])
@@ -103,14 +115,14 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for all_, borders in whole_groups(batches, ["part"]):
         for a, b in zip(borders[:-1], borders[1:], strict=True):
             table = all_.slice(a, b - a)
-            sent = [np.frombuffer(x, np.uint64) for x in table["numbers"].to_pylist()]
-            counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
+            sent = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in table["numbers"].to_pylist()]
+            counts = np.concatenate([unpacked(x, np.uint32) for x in table["counts"].to_pylist()])
             distinct, which = np.unique(np.concatenate(sent), return_inverse=True)
             totals = np.bincount(which, counts, len(distinct)).astype(np.int64)[which]
             ends = np.cumsum([len(x) for x in sent])
             for k, end in enumerate(ends):
                 one = table.slice(k, 1)
-                values = pa.array([totals[end - len(sent[k]) : end].tobytes()])
+                values = pa.array([packed(totals[end - len(sent[k]) : end])])
                 yield pa.RecordBatch.from_arrays(
                     [*(one[c].combine_chunks() for c in ("chunk", "part", "words")), values],
                     ["chunk", "part", "words", "totals"],
@@ -184,7 +196,7 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def score(texts: pa.Table, totals: pa.Table) -> pa.Table:
         totals = totals.sort_by("part")["totals"].to_pylist()
-        totals = np.concatenate([np.frombuffer(x, np.int64) for x in totals])
+        totals = np.concatenate([unpacked(x, np.int64) for x in totals])
         sizes, found = chunk_grams(_sliced(texts.select(["text"]), "text"), order)
         total, backed_off = score_rows(sizes, found, totals, n_words)
         values = [pa.array(x, t) for x, t in zip((sizes, total, backed_off), types, strict=True)]

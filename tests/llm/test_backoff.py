@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from funnelry.llm import backoff
+from funnelry.llm import backoff, queries
 
 
 def brute(rows, order=2):
@@ -56,3 +56,11 @@ def test_many_chunks_agree(spark, documents, monkeypatch):
 
 def test_no_rows(spark, documents):
     assert backoff.scores(documents()).collect() == []
+
+
+def test_query_backs_off_from_three_words(spark, tmp_path):
+    spark.createDataFrame(ROWS, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op5_backoff_scores(spark, str(tmp_path)).collect()
+    found = sorted((str(r.doc_id), r.n_words, r.n_backed_off, round(r.log_score, 6)) for r in found)
+    expected = zip(ROWS, brute(ROWS, 3), strict=True)
+    assert found == sorted((str(i), n, low, round(s, 6)) for (i, _), (n, s, low) in expected)
