@@ -296,8 +296,9 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, similar: int = SIMILAR)
     links = stored(_confirmed(docs, stored(named, "blocks"), similar), "links")
     # An id whose rows have different sets connects those sets.
     labelled = base.join(sets.drop("signature"), digest)
-    several = labelled.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-    found = components(links.union(several.where("a <> b").select("doc_id", "a")).union(several.where("a <> b").select("doc_id", "b")))
+    labelled = labelled.select("doc_id", "id").distinct()
+    several = labelled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    found = components(links.union(labelled.join(several, "doc_id").where("doc_id <> id")))
     named = sets.drop("signature").join(found, "id", "left")
     named = named.select(*digest, F.coalesce("component", "id").alias("component"))
     rows = base.select("doc_id", *digest).join(named, digest, "left")

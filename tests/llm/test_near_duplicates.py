@@ -99,6 +99,13 @@ def test_kept_documents_have_their_columns(spark, documents):
     assert sorted(str(r[0]) for r in kept.collect()) == ["2", "4", "None"]
 
 
+def test_id_with_three_texts_joins_all(spark, documents):
+    texts = ["a b c d e f", "p q r s t u", "one two three four five six"]
+    rows = [(9, t) for t in texts] + [(2 * k + 1, t) for k, t in enumerate(texts)]
+    result = chosen_path.near_duplicates(documents(*rows)).collect()
+    assert {r.component_id for r in result} == {1} and [r.doc_id for r in result if r.kept] == [1]
+
+
 def test_equal_places_follow_the_bound():
     assert [chosen_path.least_alike(s) for s in (85, 80, 50, 10)] == [41, 36, 14, 0]
 
