@@ -197,6 +197,91 @@ FROM mixed
 """
 
 
+#: The checksum of a list of bytes; `crc` has the table of its 256 remainders.
+REMAINDERS = """
+crc AS (
+  SELECT list(list_reduce([i] || range(8), lambda s, k: xor(s >> 1, 3988292384 * (s & 1))) ORDER BY i) AS rest
+  FROM (SELECT unnest(range(256)) AS i)
+)
+"""
+CRC32 = "xor(list_reduce([4294967295::BIGINT] || {0}, lambda s, b: xor(s >> 8, rest[(xor(s, b) & 255) + 1])), 4294967295)"
+
+OP12 = f"""
+WITH {REMAINDERS}, slim AS (
+  SELECT conv_id, turn, sha256(length(role) || ':' || role || text)[1:32] AS mark,
+    len(regexp_extract_all(text, '{SPACED}')) AS words
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+  WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(mark ORDER BY turn NULLS FIRST, mark) AS marks,
+    list(words ORDER BY turn NULLS FIRST, mark) AS words,
+    {CRC32.format("list_transform(string_split(conv_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)")} % 4 AS h
+  FROM slim, crc GROUP BY conv_id, rest
+), whole AS (
+  SELECT o.conv_id, coalesce(p.marks[1:o.h], []) || o.marks[o.h + 1:] AS marks,
+    coalesce(p.words[1:o.h], []) || o.words[o.h + 1:] AS words
+  FROM own o LEFT JOIN own p ON p.conv_id = o.conv_id - o.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, d, array_to_string(marks[1:d], '') AS key, coalesce(words[d], 0) AS w, d = len(marks) AS ends
+  FROM (SELECT *, unnest(range(0, len(marks) + 1)) AS d FROM whole)
+), nodes AS (
+  SELECT key, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY key
+), children AS (
+  SELECT key[1:32 * (depth - 1)] AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), counted AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (key)
+), below AS (
+  SELECT key[1:32 * i] AS key, count_if(n_children = 0) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS i FROM counted) GROUP BY 1
+)
+SELECT c.conv_id, c.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted c JOIN below USING (key)
+  LEFT JOIN nodes p ON c.depth > 0 AND p.key = c.key[1:32 * (c.depth - 1)]
+"""
+
+OP13 = rf"""
+WITH RECURSIVE {REMAINDERS}, runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  GROUP BY doc_id, run
+), lowered AS (
+  SELECT doc_id, {LOWER.format("run")} AS run, sum(n) AS n FROM runs GROUP BY ALL
+), hashed AS (
+  SELECT *, {CRC32.format("""flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+      lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END))""")} AS h
+  FROM lowered, crc
+), changed AS (
+  SELECT n, CASE WHEN h % 97 <> 0 THEN run
+    ELSE substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) END AS word
+  FROM hashed
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), shorter AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT a.word AS x, a.n AS nx, b.word AS y, b.n AS ny FROM shorter a JOIN shorter b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM words a JOIN shorter b ON a.word = b.rest
+  UNION SELECT b.word, b.n, a.word, a.n FROM words a JOIN shorter b ON a.word = b.rest
+), near AS (
+  SELECT x AS word, count(*) AS n_near, max(ny) AS top, arg_min(y, (-ny, hex(y))) AS best FROM pairs GROUP BY x
+), formed AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN best END AS form,
+    CASE WHEN top >= 2 * n THEN top END AS form_n
+  FROM words LEFT JOIN near USING (word)
+), chain AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.at WHERE formed.form IS NOT NULL
+), ends AS (
+  SELECT chain.word, chain.at AS root FROM chain JOIN formed ON formed.word = chain.at WHERE formed.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+
 def all_oracles() -> dict[str, str]:
     return {
         "op1_near_duplicates": OP1,
@@ -206,4 +291,6 @@ def all_oracles() -> dict[str, str]:
         "op6_decontamination": OP6,
         "op9_threshold_topk": OP9,
         "op10_mixture": OP10,
+        "op12_prefix_trie": OP12,
+        "op13_spelling_variants": OP13,
     }

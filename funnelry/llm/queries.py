@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from funnelry.llm import (
     backoff,
     chat,
     chosen_path,
+    fingerprints,
     licences,
     mixing,
     ordinal,
+    prefix_trie,
+    spelling,
     suffix_ranks,
     threshold_topk,
     warc,
@@ -123,6 +126,40 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_report(table(spark, sf_dir, "documents"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_followers(table(spark, sf_dir, "documents"))
+
+
+#: Conversations whose numbers differ in their last part of this size share a head of up to HEAD - 1 turns.
+FAMILY, HEAD = 20, 4
+
+
+def spliced(talks: DataFrame) -> DataFrame:
+    """Every conversation with its first turns replaced by those of the first one of its family."""
+    conv_id = F.col("conv_id")
+    convs = prefix_trie.conversations(talks, conv_id - conv_id % FAMILY)
+    family = Window.partitionBy("g0")
+    head = F.max(F.when(conv_id == F.col("g0"), F.slice("turns", 1, HEAD - 1))).over(family)
+    n = (F.crc32(conv_id.cast("string").cast("binary")) % HEAD).cast("int")
+    head = F.slice(F.coalesce(head, F.slice("turns", 1, 0)), 1, n)
+    tail = F.slice("turns", n + 1, F.size("turns"))
+    return convs.select("conv_id", F.concat(head, tail).alias("turns"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_trie.nodes(spliced(table(spark, sf_dir, "conversations")))
+    names = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")
+    return found.select(*names, "ends_sha256")
+
+
+#: One run of letters in so many loses a code point.
+DROPPED_EVERY = 97
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), spelling.one_dropped(DROPPED_EVERY))
+
+
 def all_queries() -> dict[str, Query]:
     found = (
         op1_near_duplicates,
@@ -135,5 +172,8 @@ def all_queries() -> dict[str, Query]:
         op8_licences,
         op9_threshold_topk,
         op10_mixture,
+        op11_document_fingerprints,
+        op12_prefix_trie,
+        op13_spelling_variants,
     )
     return {query.__name__: query for query in found}

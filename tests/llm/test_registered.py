@@ -11,8 +11,8 @@ from funnelry.llm.queries import all_queries
 FOLDER = Path("/root/testdata/sf0.001")
 
 
-def test_eleven_queries():
-    assert sorted(int(name[2:].split("_")[0]) for name in all_queries()) == list(range(1, 11))
+def test_all_queries():
+    assert sorted(int(name[2:].split("_")[0]) for name in all_queries()) == list(range(1, 14))
     assert {*all_queries(), "pipeline"} <= set(entry.queries())
     assert set(all_oracles()) <= set(entry.oracle_sql())
 
