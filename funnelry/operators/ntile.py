@@ -2,15 +2,18 @@
 
 `NTILE` over an unpartitioned window sends every row through one task. Tiles are contiguous in
 the order, so all that is needed are the keys at which a new tile starts: `tiles - 1` of them.
-They are found by narrowing. Each pass is one map-side-combined aggregate over the rows still
-in question, split into a fixed number of value ranges; it brings back at most
-`RANGES * (tiles - 1)` small rows and cuts the candidates by about a factor of RANGES, until a
-single key is left for each border. Assigning tiles is then a comparison with literals: no join, no
-shuffle, no window.
-
-A key shared by very many rows (one price on a third of the table) is one value in these
-aggregates. If rows tie in the whole order they are interchangeable, and a tile border inside
-such a group is described by counts instead of numbering its rows.
+They are found in two scans, however the values are spread. The first merges quantile sketches of
+the leading column, of bounded size, and counts the rows; each border then lies, up to the sketch's
+error, between two known values. The second counts exactly what lies between all those values and
+picks out the rows near a border, about MARGIN of all: a small number comes to the driver, counted
+by key; a larger one is stored with its order columns only and searched in the same way again, never
+the input. Assigning tiles is then a comparison with literals: no join, no shuffle, no window.
+
+A value that very many rows share (one price on a third of the table) is a range of its own, which
+is then searched by the next column. If rows tie in the whole order they are interchangeable, and a
+tile border inside such a group is described by counts instead of numbering its rows. Sketches only
+say where to look: all counts are exact, and a border that the sketch has missed is looked for where
+the counts say that it is, which costs another scan.
 
 The input is read several times and must give the same rows each time; read it from a table.
 """
@@ -18,15 +21,22 @@ The input is read several times and must give the same rows each time; read it f
 from __future__ import annotations
 
 import math
-import sys
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from funnelry.sources.shared import shared_path
 
-RANGES = 1024
+# Size of a quantile sketch; its rank error falls nearly in proportion.
+SKETCH = 4096
+# Sketches are merged in so many tasks before they meet in one.
+MERGERS = 64
+# Rows near the borders that may come to the driver, counted by key.
+COLLECTED = 50_000
 # Rows made by one generator call when copies are written out.
 CHUNK = 100_000
 
@@ -49,30 +59,6 @@ class Border:
         return self.rank > self.before
 
 
-@dataclass(frozen=True)
-class _Span:
-    """Rows with the `fixed` leading key values and the next column within `ends[0]`.
-
-    `ends` holds (low, high) per remaining column, None where not looked at yet.
-    """
-
-    fixed: tuple[Any, ...]
-    ends: tuple[tuple[Any, Any] | None, ...]
-    before: int
-    rows: int
-
-    @property
-    def is_key(self) -> bool:
-        return not self.ends
-
-    def narrowed(self) -> _Span:
-        """Moves leading columns that have a single value left into `fixed`."""
-        span = self
-        while span.ends and span.ends[0] and span.ends[0][0] == span.ends[0][1]:
-            span = replace(span, fixed=(*span.fixed, span.ends[0][0]), ends=span.ends[1:])
-        return span
-
-
 def tile_borders(df: DataFrame, order_by: Sequence[str], tiles: int) -> list[Border]:
     """First key of tiles 2, 3, ... in ascending order; fewer if there are fewer rows than tiles.
 
@@ -82,17 +68,14 @@ def tile_borders(df: DataFrame, order_by: Sequence[str], tiles: int) -> list[Bor
     known = " AND ".join(f"`{c}` IS NOT NULL" for c in order_by)
     keys = df.select(*order_by)
     checked = keys.where(F.when(F.expr(known), True).otherwise(missing.cast("boolean")))
-    everything = _Span((), (None,) * len(order_by), 0, 0)
-    found = _narrow(checked, order_by, [everything])[everything]
-    total = sum(s.rows for s in found)
+    total, sketch = _sketched(checked, order_by[0])
     ranks = [r for r in _first_ranks(total, tiles) if r < total]
-    spans = {r: found[0] for r in ranks}
-    while wide := {s for s in spans.values() if not s.is_key}:
-        parts = _narrow(keys, order_by, sorted(wide, key=lambda s: s.before))
-        for rank, span in spans.items():
-            if span in wide:
-                spans[rank] = next(s for s in parts[span] if rank < s.before + s.rows)
-    return [Border(spans[r].fixed, r, spans[r].before, spans[r].rows) for r in ranks]
+    return sorted(_found(keys, order_by, (), 0, total, sketch, ranks), key=lambda b: b.rank)
+
+
+def margin() -> float:
+    """How far a sketch's rank may be off, as a share of the rows, with some room."""
+    return 2.5 * 2.296 / SKETCH**0.9021
 
 
 def tile_bounds(order_by: Sequence[str], borders: Sequence[Border]) -> tuple[Column, Column]:
@@ -148,70 +131,144 @@ def _first_ranks(total: int, tiles: int) -> list[int]:
     return [i * size + min(i, larger) for i in range(1, tiles)]
 
 
-def _narrow(
-    keys: DataFrame, order_by: Sequence[str], spans: Sequence[_Span]
-) -> dict[_Span, list[_Span]]:
-    """Splits each span into up to RANGES by its next column: one aggregate over all of them.
+def _sketched(keys: DataFrame, column: str) -> tuple[int, Callable[..., list]]:
+    """Rows, and a function from shares of the rows to values and back: one scan.
 
-    Reads the columns fixed so far, the next one and the one after it, no others.
+    The sketches of all tasks are merged in MERGERS tasks first.
     """
-    done = {s: len(s.fixed) for s in spans}
-    looked_at = {c for n in done.values() for c in order_by[n : n + 2]}
-    inside = [_inside(order_by, s) for s in spans]
-    places = [_place(order_by[done[s]], s) for s in spans]
-    ends = [f(c).alias(f"{n} {c}") for c in looked_at for n, f in (("low", F.min), ("high", F.max))]
-    counted = (
-        keys.select("*", _case(inside, range(len(spans)), "_span"), _case(inside, places, "_part"))
-        .where(F.col("_span").isNotNull())
-        .groupBy("_span", "_part")
-        .agg(F.count(F.lit(1)).alias("_rows"), *ends)
-        .collect()  # at most RANGES rows per span
-    )
-    result: dict[_Span, list[_Span]] = {s: [] for s in spans}
-    for row in sorted(counted, key=lambda r: (r["_span"], r["_part"])):
-        span = spans[row["_span"]]
-        parts = result[span]
-        before = parts[-1].before + parts[-1].rows if parts else span.before
-        known = tuple(
-            (row[f"low {c}"], row[f"high {c}"]) if c in looked_at else None
-            for c in order_by[done[span] :]
+    whole = not isinstance(keys.schema[column].dataType, (T.FloatType, T.DoubleType))
+    kind = "bigint" if whole else "double"
+    build, merge, quantile, rank = (
+        getattr(F, name)
+        for name in (
+            f"kll_sketch_agg_{kind}",
+            f"kll_merge_agg_{kind}",
+            f"kll_sketch_get_quantile_{kind}",
+            f"kll_sketch_get_rank_{kind}",
         )
-        parts.append(_Span(span.fixed, known, before, row["_rows"]).narrowed())
-    return result
-
-
-def _case(conditions: Sequence[str], values: Iterable[Any], name: str) -> Column:
-    cases = " ".join(f"WHEN {c} THEN {v}" for c, v in zip(conditions, values))
-    return F.expr(f"CASE {cases} END").alias(name)
+    )
+    size = F.lit(SKETCH)
+    parts = keys.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS))).agg(
+        F.count(F.lit(1)).alias("n"), build(F.col(column).cast(kind), size).alias("sketch")
+    )
+    found = parts.agg(F.sum("n").alias("n"), merge("sketch", size).alias("sketch")).first()
+    spark = keys.sparkSession
 
+    def asked(read, values: Sequence) -> list:
+        listed = F.array(*(F.lit(v).cast(kind if read is rank else "double") for v in values))
+        one = spark.sql("SELECT 1").select(read(F.lit(bytes(found.sketch)), listed))
+        return list(one.first()[0]) if values else []
 
-def _inside(order_by: Sequence[str], span: _Span) -> str:
-    conditions = [_equal(order_by, span.fixed)] if span.fixed else []
-    if span.ends and span.ends[0]:
-        low, high = map(_literal, span.ends[0])
-        conditions.append(f"`{order_by[len(span.fixed)]}` BETWEEN {low} AND {high}")
-    return " AND ".join(conditions) or "true"
+    def look(shares: Sequence[float] = (), values: Sequence = ()) -> list:
+        return asked(quantile, shares) if shares else asked(rank, values)
 
+    return found.n or 0, look
 
-def _place(column: str, span: _Span) -> str:
-    """Which of RANGES equal parts of [low, high] a value is in; never decreasing in the value.
 
-    Lowest and highest value always land in different parts, so every pass makes progress.
+def _found(
+    keys: DataFrame,
+    order_by: Sequence[str],
+    fixed: tuple[Any, ...],
+    before: int,
+    total: int,
+    look: Callable[..., list],
+    ranks: Sequence[int],
+) -> list[Border]:
+    """The borders at these ranks, all of them among the `total` rows of `keys`.
+
+    The rows agree in the leading columns, `fixed`, and `before` rows lie before them.
     """
-    if not span.ends[0]:
-        return "0"
-    low, high = span.ends[0]
-    if isinstance(low, float):
-        top = min(high, sys.float_info.max)
-        # A quarter of the widest possible range is still finite.
-        scale = 1.0 if top - low < sys.float_info.max else 0.25
-        offset = f"`{column}` * {_literal(scale)} - {_literal(low * scale)}"
-        width = (top * scale - low * scale) or 1.0
-    elif high - low < 2**62:
-        offset, width = f"`{column}` - {_literal(low)}", float(high - low)
+    if not ranks:
+        return []
+    column, error = order_by[len(fixed)], margin() + 1 / total
+    middle = [(r - before + 0.5) / total for r in ranks]
+    shares = [min(1.0, max(0.0, m + e)) for m in middle for e in (-error, error)]
+    ends = look(shares=shares)
+    cuts = sorted(set(ends))
+    near = set()  # segments around the borders
+    for low, high in zip(ends[::2], ends[1::2]):
+        near.update(range(2 * cuts.index(low) + 1, 2 * cuts.index(high) + 2))
+    at = look(values=[x for c in cuts for x in (_below(c), c)])
+    rows = total * (sum(at[1::2]) - sum(at[::2]) + 2 * error * len(ranks))
+    segment = _segment(column, cuts)
+    spark, borders = keys.sparkSession, []
+    path = shared_path(spark, "borders") if rows > COLLECTED else None
+    if rows <= COLLECTED:
+        inside = _counted(keys, order_by, segment, near)
+        sizes = {s: sum(n for _, n in found) for s, found in inside.items()}
+    elif path:
+        sizes = _kept(keys, segment, near, path, 2 * len(cuts) + 1)
+        place = T.StructField("_segment", T.IntegerType())
+        kept = spark.read.schema(T.StructType([*keys.schema, place])).parquet(path)
     else:
-        offset, width = f"double(`{column}`) - {_literal(float(low))}", float(high) - float(low)
-    return f"int(least({RANGES - 1}D, ({offset}) / {_literal(width)} * {RANGES}))"
+        counts = keys.groupBy(F.expr(segment).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+        sizes = {r.s: r.n for r in counts.collect()}
+    start = before
+    for s in sorted(sizes):
+        own = [r for r in ranks if start <= r < start + sizes[s]]
+        if own and s in near and rows <= COLLECTED:
+            borders += _walked(inside[s], start, own)
+        elif own:
+            source = kept if path and s in near else keys.withColumn("_segment", F.expr(segment))
+            part = source.where(F.col("_segment") == s).drop("_segment")
+            value = (*fixed, cuts[s // 2]) if s % 2 else fixed
+            if len(value) == len(order_by):
+                borders += [Border(value, r, start, sizes[s]) for r in own]
+            else:
+                n, further = _sketched(part, order_by[len(value)])
+                borders += _found(part, order_by, value, start, n, further, own)
+        start += sizes[s]
+    return borders
+
+
+def _below(value: float | int) -> float | int:
+    return value - 1 if isinstance(value, int) and value > -(2**63) else math.nextafter(value, -math.inf)
+
+
+def _segment(column: str, cuts: Sequence[Any]) -> str:
+    """2 * i + 1 for the value cuts[i], 2 * i for values between it and the one before."""
+    cases = [
+        f"WHEN `{column}` {op} {_literal(c)} THEN {2 * i + odd}"
+        for i, c in enumerate(cuts)
+        for odd, op in enumerate(("<", "="))
+    ]
+    return f"CASE {' '.join(cases)} ELSE {2 * len(cuts)} END"
+
+
+def _counted(
+    keys: DataFrame, order_by: Sequence[str], segment: str, near: Iterable[int]
+) -> dict[int, list[tuple[tuple, int]]]:
+    """Keys of the near segments with their rows, in order; of the others only the rows: one scan."""
+    placed = keys.select(F.expr(segment).alias("_segment"), *order_by)
+    own = F.col("_segment").isin(*near)
+    grouped = placed.groupBy("_segment", *(F.when(own, F.col(c)).alias(c) for c in order_by))
+    found: dict[int, list[tuple[tuple, int]]] = {}
+    for row in grouped.agg(F.count(F.lit(1)).alias("_rows")).collect():
+        found.setdefault(row["_segment"], []).append((tuple(row)[1:-1], row["_rows"]))
+    return {s: sorted(rows) if s in near else rows for s, rows in found.items()}
+
+
+def _kept(
+    keys: DataFrame, segment: str, near: Iterable[int], path: str, segments: int
+) -> dict[int, int]:
+    """Stores the rows of the near segments and counts those of each: one scan.
+
+    Rows are counted in the stage that writes, so a task that is run again is counted once.
+    """
+    seen = Observation("segments")
+    placed = keys.withColumn("_segment", F.expr(segment))
+    counts = [F.count_if(F.col("_segment") == s).alias(f"s{s}") for s in range(segments)]
+    placed.observe(seen, *counts).where(F.col("_segment").isin(*near)).write.parquet(path)
+    return {s: seen.get[f"s{s}"] for s in range(segments)}
+
+
+def _walked(rows: Sequence[tuple[tuple, int]], before: int, ranks: Sequence[int]) -> list[Border]:
+    """The borders at these ranks, from sorted keys with their numbers of rows."""
+    borders = []
+    for key, ties in rows:
+        borders += [Border(key, r, before, ties) for r in ranks if before <= r < before + ties]
+        before += ties
+    return borders
 
 
 def _equal(order_by: Sequence[str], key: Sequence[Any]) -> str:

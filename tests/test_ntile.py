@@ -27,9 +27,11 @@ INPUTS = {
 }
 
 
-@pytest.fixture
-def few_ranges(monkeypatch):
-    monkeypatch.setattr(nt, "RANGES", 8)
+@pytest.fixture(params=[150, 50_000])
+def few_ranges(monkeypatch, request):
+    """A coarse sketch; rows near a border are stored and searched again, or counted at once."""
+    monkeypatch.setattr(nt, "SKETCH", 256)
+    monkeypatch.setattr(nt, "COLLECTED", request.param)
     monkeypatch.setattr(nt, "CHUNK", 100)
 
 
@@ -58,6 +60,50 @@ def test_other_numbers_of_tiles(spark, few_ranges, tiles):
     compare(spark, INPUTS["one price on most rows"], tiles)
 
 
+def test_without_a_shared_folder_the_input_is_searched_again(spark, few_ranges, monkeypatch):
+    monkeypatch.setattr(nt, "shared_path", lambda spark, what: None)
+    compare(spark, INPUTS["copies over several tiles"], 4)
+
+
+SPREADS = {
+    "log scale": lambda i: 10.0 ** (i % 600 - 300) * (1 + i / 7919),
+    "clusters": lambda i: [1e-9, 1.0, 1e9][i % 3] + (i * 7919 % 10_007) * 1e-12,
+    "two prices": lambda i: 1.0 if i % 10 else 1e300,
+    "evenly": lambda i: float(i * 7919 % 10_007),
+}
+
+
+@pytest.mark.parametrize("collected", [300, 50_000])
+@pytest.mark.parametrize("name", SPREADS)
+def test_two_scans_however_the_values_are_spread(spark, tmp_path, monkeypatch, name, collected):
+    values = [(SPREADS[name](i), i) for i in range(20_000)]
+    path = str(tmp_path / "keys")
+    spark.createDataFrame(values, "p double, i bigint").write.parquet(path)
+    monkeypatch.setattr(nt, "COLLECTED", collected)
+    scans = []
+    for step in ("_sketched", "_counted", "_kept"):
+        def counted(keys, *rest, step=getattr(nt, step)):
+            if path in str(keys.inputFiles()):
+                scans.append(step.__name__)
+            return step(keys, *rest)
+
+        monkeypatch.setattr(nt, step, counted)
+    borders = nt.tile_borders(spark.read.parquet(path), ORDER, 4)
+    ordered = sorted(values)
+    assert [(b.key, b.rank) for b in borders] == [(ordered[r], r) for r in (5000, 10_000, 15_000)]
+    assert scans == ["_sketched", "_kept" if collected == 300 else "_counted"]
+
+
+def test_a_border_that_the_sketch_missed_is_found(spark, monkeypatch):
+    monkeypatch.setattr(nt, "margin", lambda: 0.0)
+    monkeypatch.setattr(nt, "SKETCH", 8)
+    values = [(float(i * 7919 % 10_007), i) for i in range(5000)]
+    for collected in (500, 50_000):
+        monkeypatch.setattr(nt, "COLLECTED", collected)
+        borders = nt.tile_borders(spark.createDataFrame(values, "p double, i bigint"), ORDER, 4)
+        assert [b.key for b in borders] == [sorted(values)[r] for r in (1250, 2500, 3750)]
+
+
 def test_sizes_differ_by_one(spark):
     df = spark.range(11).select(F.col("id").cast("double").alias("p"), F.col("id").alias("i"))
     sizes = nt.ntile(df, ORDER, 4, "t").groupBy("t").count().orderBy("t").collect()
