@@ -1,23 +1,66 @@
-"""The stored event table: writing, layout, statistics, load report (SRC-10..12)."""
+"""The stored event table: versions, writing, layout, statistics, load report (SRC-10..12).
+
+A table is a folder of loads and streamed batches, each a folder of its own that Spark marks with
+`_SUCCESS` when all of its files are in place:
+
+    load-<number>-<name>/          a full load; the last one that is marked counts
+    stream-<source>/batch-<number>/  batches of the incremental load; all that are marked count
+
+A load therefore becomes visible as a whole or, if it fails, not at all, and it replaces earlier
+loads only: what a stream has appended, and its checkpoint counts as done, stays in the table.
+"""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from funnelry.schema import EVENT_COLUMNS, EVENT_SCHEMA
+from funnelry.sources.shared import found_files, remove
+
+DONE = "_SUCCESS"
+
+
+def _marked(spark: SparkSession, pattern: str) -> list[str]:
+    """Finished folders, by name."""
+    return [path[: -len(DONE) - 1] for path, *_ in found_files(spark, f"{pattern}/{DONE}")]
+
+
+def loads(spark: SparkSession, path: str) -> list[str]:
+    """The finished loads of a table, the present one last."""
+    return _marked(spark, f"{path.rstrip('/')}/load-*")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """The table with its fixed schema; nothing is inferred, files are not opened for it.
 
-    Files may lie in subfolders, where the incremental load puts its batches.
+    The finished folders are listed once, here. A folder of Parquet files without any load in it is
+    read as it is.
     """
-    return spark.read.schema(EVENT_SCHEMA).option("recursiveFileLookup", True).parquet(path)
-
-
-def write_events(events: DataFrame, path: str, compact: bool = False) -> dict[str, int]:
-    """Replaces the table and returns the load report.
+    root = path.rstrip("/")
+    parts = loads(spark, root)[-1:] or ([root] if found_files(spark, f"{root}/*.parquet") else [])
+    streams = {p.rsplit("/", 1)[0]: None for p in _marked(spark, f"{root}/stream-*/batch-*")}
+    reader = spark.read.schema(EVENT_SCHEMA)
+    tables = [reader.parquet(p) for p in parts]
+    for stream in streams:
+        tables.append(reader.parquet(*_marked(spark, f"{stream}/batch-*")))
+    if not tables:
+        known = found_files(spark, f"{root}/*")
+        return spark.createDataFrame([], EVENT_SCHEMA) if known else reader.parquet(root)
+    return reduce(DataFrame.unionByName, tables)
+
+
+def write_events(
+    events: DataFrame, path: str, compact: bool = False, keep: int = 1
+) -> dict[str, int]:
+    """Loads the table anew and returns the load report.
+
+    Until the last file is in place readers see the earlier load, of which `keep` stay for those
+    that are still reading it. Streamed batches are left as they are. `events` may be read from the
+    same table.
 
     A scan of very many splits that keeps few users would leave as many tiny files; `compact`
     has AQE gather the kept rows into files of its advisory size first.
@@ -25,13 +68,20 @@ def write_events(events: DataFrame, path: str, compact: bool = False) -> dict[st
     Rows are counted while they are written. The write is the last stage of its job, so a task
     that is run again is counted once. Distinct users are counted over the one stored column.
     """
+    spark, root = events.sparkSession, path.rstrip("/")
+    before = loads(spark, root)
+    number = 1 + max((int(p.rsplit("/load-", 1)[1].split("-")[0]) for p in before), default=0)
+    folder = f"{root}/load-{number:012d}-{uuid.uuid4().hex[:8]}"
     seen = Observation("load")
     rows = events.select(*EVENT_COLUMNS)
     if compact:
         rows = rows.hint("rebalance")
     rows = rows.observe(seen, F.count(F.lit(1)).alias("events"))
-    rows.write.mode("overwrite").parquet(path)
-    users = read_events(events.sparkSession, path).agg(F.count_distinct("user_id")).first()[0]
+    rows.write.parquet(folder)
+    loaded = spark.read.schema(EVENT_SCHEMA).parquet(folder)
+    users = loaded.agg(F.count_distinct("user_id")).first()[0]
+    for old in before[: len(before) - keep]:
+        remove(spark, old)
     return {"events": seen.get["events"], "users": users}
 
 

@@ -287,6 +287,19 @@ tidy AS (
   FROM (SELECT *, try_strptime(replace(event_time, ' UTC', ''), '%Y-%m-%d %H:%M:%S') AS t FROM raw)
   WHERE t IS NOT NULL AND user_id IS NOT NULL AND user_session IS NOT NULL)"""
 
+STEPS_OF_LOAD = f"""kept AS (
+  SELECT event_id % 3 AS batch, user_id FROM raw
+  WHERE try_strptime(replace(event_time, ' UTC', ''), '%Y-%m-%d %H:%M:%S') IS NOT NULL
+    AND user_id IS NOT NULL AND user_session IS NOT NULL AND {IN_SAMPLE}),
+first_batch AS (SELECT user_id, min(batch) AS batch FROM kept GROUP BY user_id),
+batches AS (
+  SELECT b::BIGINT AS batch, (SELECT count(*) FROM kept WHERE kept.batch = b) AS events,
+         (SELECT count(*) FROM first_batch WHERE first_batch.batch = b) AS users
+  FROM range(3) AS t(b))"""
+
+COHORT = """cohort AS (SELECT DISTINCT user_id FROM shop WHERE event_type = 'purchase' AND event_ts >= 1705276800)"""
+EVENT_ROWS = """event_time, event_ts, event_type, product_id, category_code, brand, price, user_id, user_session"""
+
 # The published bounds and labels of the reports' buckets.
 EPS_CASES = """WHEN n_events = 1 THEN '1' WHEN n_events = 2 THEN '2'
   WHEN n_events <= 5 THEN '3-5' WHEN n_events <= 10 THEN '6-10'
@@ -384,6 +397,35 @@ UNION ALL SELECT 'users with purchase but no view (ever)', {_without_view("user_
             f"SELECT count(*) AS events, count(DISTINCT user_id) AS users FROM tidy WHERE {IN_SAMPLE}",
             TIDY,
         ),
+        "running_load": _query(
+            """SELECT *, (sum(events) OVER (ORDER BY batch))::BIGINT AS total_events,
+  (sum(users) OVER (ORDER BY batch))::BIGINT AS total_users FROM batches""",
+            TIDY, STEPS_OF_LOAD,
+        ),
+        "reloaded_table": _query(f"SELECT {EVENT_ROWS} FROM shop"),
+        "sample_from_files": _query(
+            f"SELECT {EVENT_ROWS} FROM shop WHERE {IN_SAMPLE.replace('< 3000', '< 300')}"
+        ),
+        "cohort_funnel": _query(
+            _category_funnel(30, 10)[0],
+            COHORT, "members AS (SELECT * FROM shop WHERE user_id IN (SELECT user_id FROM cohort))",
+            _flags("units", f"{TOP} AS top_category, user_id", "members"),
+        ),
+        "cohort_events": _query(
+            """SELECT coalesce(user_id IN (SELECT user_id FROM cohort WHERE user_id IS NOT NULL), false) AS in_cohort,
+  event_type, count(*) AS events FROM shop GROUP BY ALL""",
+            COHORT,
+        ),
+        "daily_users": _query(
+            """SELECT CAST(floor(event_ts / 86400) AS BIGINT) AS day, count(DISTINCT user_id) AS users
+FROM shop WHERE user_id IS NOT NULL GROUP BY 1
+UNION ALL SELECT NULL, count(DISTINCT user_id) FROM shop"""
+        ),
+        "bucketed_funnel_user": _query(*_funnel("user_id")),
+        "bucketed_abandonment_user": _query(f"SELECT {CARTERS} FROM users", GRAINS[0]),
+        "bucketed_time_to_convert_distribution": _query(
+            _histogram("delay", DELAY_CASES, "delay_bucket", "users", "delays"), FIRSTS, DELAYS
+        ),
         "event_indicators": _query(
             """SELECT user_id, user_session, v::INTEGER AS viewed, c::INTEGER AS carted,
   p::INTEGER AS purchased, (v AND c)::INTEGER AS reached_cart,

@@ -7,7 +7,7 @@ two engines can be compared; the library returns them in full.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +18,17 @@ from funnelry.functions.events import brand_label, category_label, has_price, to
 from funnelry.functions.numbers import round_to
 from funnelry.functions.sampling import keep_buckets_of, sample_users
 from funnelry.functions.times import display_time
-from funnelry.operators import gaps, quality, timing
+from funnelry.operators import bitmaps, cohort, gaps, quality, timing
 from funnelry.operators.funnel import stage_flags
 from funnelry.operators.ntile import ntile
-from funnelry.plans import inference, reports, rollup
+from funnelry.plans import by_user, inference, reports, rollup
 from funnelry.schema import RAW_COLUMNS
-from funnelry.sources.csv_events import blank_to_null, calibration, normalise
+from funnelry.sources import event_table, layouts
+from funnelry.sources.csv_events import CSV_OPTIONS, blank_to_null, calibration, normalise
 from funnelry.sources.driver_events import clickstream
 from funnelry.sources.event_table import clustered, load_report
+from funnelry.sources.shared import required_path, shared_root, state_of
+from funnelry.streaming.ingest import append_events, load_progress, stream_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +36,11 @@ TIEBREAK = ("event_id",)
 SAMPLE_BUCKETS = 3000
 SAMPLE_TARGET = 2000
 SAMPLE_FRACTION = 0.25
+SMALL_SAMPLE_BUCKETS = 300
+LOAD_STEPS = 3
+USER_BUCKETS = 8
+COHORT_SINCE = 1_705_276_800  # 2024-01-15 00:00:00 UTC
+COHORT_VIEWERS = 30
 DIGITS = 8
 
 
@@ -88,6 +96,60 @@ def loaded(events: DataFrame) -> DataFrame:
     return load_report(normalise(sample_users(untidy(events), SAMPLE_BUCKETS)))
 
 
+def loaded_in_steps(events: DataFrame) -> DataFrame:
+    """Raw files that arrive one after the other, and the running counts of their load."""
+    spark, root = events.sparkSession, required_path(events.sparkSession, "steps")
+    raw, table = f"{root}/raw", f"{root}/table"
+    step = F.pmod(F.col("event_id"), F.lit(LOAD_STEPS))
+    for k in range(LOAD_STEPS):
+        part = untidy(events).where(step == k).select(*RAW_COLUMNS)
+        part.write.options(**CSV_OPTIONS).mode("append").csv(raw)
+        stream = stream_events(spark, raw, SAMPLE_BUCKETS)
+        append_events(stream, raw, table, f"{root}/checkpoint").awaitTermination()
+    return load_progress(spark, table).drop("stream")
+
+
+def reloaded(events: DataFrame) -> DataFrame:
+    """A table that is loaded with some of the events, and then with all of them."""
+    path = required_path(events.sparkSession, "reloaded")
+    event_table.write_events(events.where(F.col("event_id") % 2 == 0), path)
+    event_table.write_events(events, path)
+    return event_table.read_events(events.sparkSession, path)
+
+
+def in_user_buckets(events: DataFrame) -> layouts.UserBuckets:
+    spark, table = events.sparkSession, f"buckets_{uuid.uuid4().hex}"
+    layouts.save_user_buckets(events, table, USER_BUCKETS, required_path(spark, "buckets"))
+    return layouts.read_user_buckets(spark, table)
+
+
+def sampled_from_files(events: DataFrame) -> DataFrame:
+    path = required_path(events.sparkSession, "samples")
+    layouts.write_for_samples(events, path)
+    return layouts.read_sample(events.sparkSession, path, SMALL_SAMPLE_BUCKETS)
+
+
+def buyers(events: DataFrame) -> DataFrame:
+    return cohort.buyers_since(events, fv.PURCHASE, COHORT_SINCE)
+
+
+def cohort_funnel(events: DataFrame) -> DataFrame:
+    chosen = cohort.restricted(events, buyers(events))
+    return reports.funnel_by_category(chosen, min_viewers=COHORT_VIEWERS)
+
+
+def cohort_events(events: DataFrame) -> DataFrame:
+    marked = cohort.with_membership(events, buyers(events))
+    return marked.groupBy("in_cohort", "event_type").agg(F.count(F.lit(1)).alias("events"))
+
+
+def daily_users(events: DataFrame) -> DataFrame:
+    """Users of each day, and of all days (no day) from the bitmaps of the days."""
+    days = bitmaps.user_bitmaps(events, bitmaps.day())
+    whole = bitmaps.distinct_users(days).select(F.lit(None).cast("long").alias("day"), "users")
+    return bitmaps.distinct_users(days, "day").unionByName(whole)
+
+
 def indicators(events: DataFrame) -> DataFrame:
     viewed, carted, purchased = (F.col(c) for c in ("viewed", "carted", "purchased"))
     flags = {
@@ -172,6 +234,12 @@ def over_events() -> dict[str, Callable[[DataFrame], DataFrame]]:
         "calibrate_keep_buckets": calibrated,
         "normalise_events": normalised,
         "load_report": loaded,
+        "running_load": loaded_in_steps,
+        "reloaded_table": reloaded,
+        "sample_from_files": sampled_from_files,
+        "cohort_funnel": cohort_funnel,
+        "cohort_events": cohort_events,
+        "daily_users": daily_users,
         "event_indicators": indicators,
         "top_category": categories,
         "segment_label": price_labels,
@@ -190,6 +258,8 @@ def over_events() -> dict[str, Callable[[DataFrame], DataFrame]]:
         "abandonment_rates": lambda e: _intervals(inference.abandonment_rates(e)),
         "significant_segments": lambda e: inference.significant_segments(e, TIEBREAK),
     }
+    for name, report in by_user.BY_USER.items():
+        found[f"bucketed_{name}"] = lambda e, report=report: report(in_user_buckets(e))
     for split in SPLITS:
         found[f"segment_rate_series_{split}"] = lambda e, split=split: _series(e, split)
         for key, step in STEP_KEYS.items():
@@ -210,13 +280,13 @@ def over_rollup() -> dict[str, Callable[[DataFrame], DataFrame]]:
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary of a folder's events: stored by the first query that asks for it, then read.
 
-    It lies in the session's shared folder, under the application and the folder of the tables.
+    It lies in the session's shared folder, named by the files of the events as they are now, with
+    their sizes and times, so that events written anew have a summary of their own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = shared_root(spark)
     if root is None:
         return rollup.session_rollup(clickstream(spark, sf_dir))
-    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
-    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/summary-{name}"
+    path = f"{root}/summary-{state_of(spark, f'{sf_dir}/events.parquet')}"
     if path not in _stored:
         rollup.store_rollup(clickstream(spark, sf_dir), path)
         _stored.add(path)

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from funnelry.functions.sampling import keep_buckets_for, keep_buckets_of, sampl
 from funnelry.functions.times import display_time, epoch_seconds
 from funnelry.schema import EVENT_COLUMNS, EVENT_SCHEMA
 from funnelry.sources import csv_events, event_table
-from funnelry.streaming.ingest import append_events, stream_events, stream_name
+from funnelry.streaming.ingest import append_events, load_progress, stream_events, stream_name
 
 HEADER = "event_time,extra,event_type,product_id,category_code,brand,price,user_id,user_session"
 LINES = [
@@ -165,7 +166,7 @@ def test_compact_write_leaves_few_files(spark, tmp_path, events):
     for compact in (False, True):
         path = tmp_path / str(compact)
         assert event_table.write_events(many, str(path), compact) == {"events": 64, "users": 64}
-        sizes[compact] = len(list(path.glob("*.parquet")))
+        sizes[compact] = len(list(path.rglob("*.parquet")))
     assert sizes[True] < 4 < sizes[False]
 
 
@@ -244,6 +245,110 @@ def test_a_batch_that_is_run_again_counts_once(spark, raw, tmp_path):
     assert event_table.read_events(spark, out).count() == 3
 
 
+def broken(events, after):
+    """The rows, and an error in place of the last of them."""
+    return events.where(F.when(F.col("event_ts") < after, True).otherwise(F.raise_error(F.lit("broken")).cast("boolean")))
+
+
+def test_a_failed_load_leaves_the_table_as_it_was(spark, tmp_path, events):
+    out = str(tmp_path / "out")
+    with pytest.raises(Exception, match="broken"):
+        event_table.write_events(broken(events(*((i, "s", i, "view") for i in range(50))), 49), out)
+    assert event_table.read_events(spark, out).collect() == []
+    event_table.write_events(events((1, "s", 1, "view")), out)
+    many = events(*((i, "s", i, "view") for i in range(50))).repartitionByRange(5, "event_ts")
+    with pytest.raises(Exception, match="broken"):
+        event_table.write_events(broken(many, 49), out)
+    assert [r.user_id for r in event_table.read_events(spark, out).collect()] == [1]
+    assert event_table.write_events(many, out)["events"] == 50
+    assert event_table.read_events(spark, out).count() == 50
+
+
+def test_a_load_may_read_the_table_that_it_replaces(spark, tmp_path, events):
+    out = str(tmp_path / "out")
+    event_table.write_events(events(*((i, "s", i, "view") for i in range(9))), out)
+    reader = event_table.read_events(spark, out)
+    for kept in (6, 3):
+        table = event_table.read_events(spark, out)
+        event_table.write_events(table.where(F.col("user_id") < kept), out)
+        assert event_table.read_events(spark, out).count() == kept
+        assert kept == 3 or reader.count() == 9  # the load before the present one can still be read
+    assert len(event_table.loads(spark, out)) == 2
+
+
+def test_a_reload_keeps_what_was_streamed(spark, raw, tmp_path, events):
+    out = str(tmp_path / "out")
+    event_table.write_events(events((1, "s", 1, "view")), out)
+    assert appended(spark, raw, out) == 4
+    event_table.write_events(events((2, "s", 1, "view"), (3, "s", 1, "view")), out)
+    assert appended(spark, raw, out) == 5  # the stream has nothing new
+    assert {tuple(r) for r in event_table.read_events(spark, out).collect()} >= EXPECTED
+
+
+def test_unfinished_batches_are_not_read(spark, raw, tmp_path):
+    out = tmp_path / "out"
+    assert appended(spark, raw, str(out)) == 3
+    (next(out.glob("stream-*/batch-*")) / "_SUCCESS").unlink()
+    assert event_table.read_events(spark, str(out)).collect() == []
+
+
+def test_a_plain_folder_is_a_table(spark, tmp_path, events):
+    out = str(tmp_path / "out")
+    events((1, "s", 1, "view")).write.parquet(out)
+    assert event_table.read_events(spark, out).count() == 1
+    event_table.write_events(events((2, "s", 1, "view")), out)
+    assert [r.user_id for r in event_table.read_events(spark, out).collect()] == [2]
+
+
+def batch_line(user, second):
+    return f"2019-11-02 00:00:{second:02d} UTC,x,view,1,a,b,1.0,{user},s9"
+
+
+def test_running_counts_equal_a_recount(spark, tmp_path):
+    source, out = tmp_path / "source", str(tmp_path / "out")
+    source.mkdir()
+    batches = [[1, 2, 2, 3], [2, 3, 3], [4, 1, 5, 4], [6]]
+    for number, users in enumerate(batches):
+        lines = [batch_line(u, i) for i, u in enumerate(users)] + ["bad,x,view,1,a,b,1.0,99,s9"]
+        (source / f"{number}.csv").write_text("\n".join([HEADER, *lines]) + "\n")
+        if number % 2:  # a run takes two files, one at a time
+            stream = stream_events(spark, str(source), HASH_SPACE, 1)
+            append_events(stream, str(source), out).awaitTermination()
+        time.sleep(0.05)  # files are taken by age
+    found = [tuple(r)[1:] for r in load_progress(spark, out).orderBy("batch").collect()]
+    events, known, expected = 0, set(), []
+    for number, users in enumerate(batches):
+        new, events = set(users) - known, events + len(users)
+        known |= new
+        expected.append((number, len(users), len(new), events, len(known)))
+    assert found == expected
+    stored = event_table.read_events(spark, out)
+    assert tuple(event_table.load_report(stored).first()) == expected[-1][3:]
+
+
+def test_a_repeated_batch_changes_no_running_count(spark, tmp_path):
+    source, out, checkpoint = tmp_path / "source", str(tmp_path / "out"), tmp_path / "checkpoint"
+    source.mkdir()
+    for number, users in enumerate([[1, 2], [2, 3]]):
+        lines = [batch_line(u, 1) for u in users]
+        (source / f"{number}.csv").write_text("\n".join([HEADER, *lines]) + "\n")
+        stream = stream_events(spark, str(source), HASH_SPACE)
+        append_events(stream, str(source), out, str(checkpoint)).awaitTermination()
+    before = load_progress(spark, out).collect()
+    # As after a crash between the last batch and the note that it is done.
+    (checkpoint / "commits" / "1").unlink()
+    (checkpoint / "commits" / ".1.crc").unlink(missing_ok=True)
+    stream = stream_events(spark, str(source), HASH_SPACE)
+    append_events(stream, str(source), out, str(checkpoint)).awaitTermination()
+    assert load_progress(spark, out).collect() == before
+    assert [tuple(r)[1:] for r in before] == [(0, 2, 2, 2, 2), (1, 2, 1, 4, 3)]
+    assert event_table.read_events(spark, out).count() == 4
+
+
+def test_a_table_without_streams_has_no_progress(spark, tmp_path):
+    assert load_progress(spark, str(tmp_path)).collect() == []
+
+
 @pytest.mark.parametrize("value, digits, found", [(1.005, 2, 1.01), (0.285, 2, 0.29), (2.675, 2, 2.68), (-0.5, 0, -1.0), (1e35, 2, 1e35), (None, 2, None)])
 def test_rounding(spark, value, digits, found):
     assert spark.range(1).select(round_to(F.lit(value).cast("double"), digits)).first()[0] == found
