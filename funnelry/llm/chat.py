@@ -26,13 +26,18 @@ START, WRONG = "start", "wrong"
 
 @dataclass(frozen=True)
 class Template:
-    """Marks, codes for control characters (the escape character first), roles and their order."""
+    """Marks, codes for control characters (the escape character first), roles and their order.
+
+    Codes follow from the marks unless they are given: the first character of `begin` and the first
+    of `end` that no other mark has get one in all texts, the first of `after_role` in roles. Marks
+    or codes by which a text could hold a mark are an error.
+    """
 
     begin: str = "### "
     after_role: str = "\n"
     end: str = "</turn>\n"
-    codes: tuple[tuple[str, str], ...] = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"))
-    role_codes: tuple[tuple[str, str], ...] = (("\n", "\\n"),)
+    codes: tuple[tuple[str, str], ...] | None = None
+    role_codes: tuple[tuple[str, str], ...] | None = None
     learned: tuple[str, ...] = ("assistant",)
     steps: Mapping[tuple[str, str], str] = field(
         default_factory=lambda: {
@@ -45,7 +50,34 @@ class Template:
     )
     final: tuple[str, ...] = ("assistant",)
 
-
+    def __post_init__(self) -> None:
+        if not (self.end and self.after_role):
+            raise ValueError("a turn needs a mark after its role and one at its end")
+        others = self.begin + self.after_role
+        told = next((c for c in self.end if c not in others and c != ESCAPE), None)
+        if told is None:
+            raise ValueError(f"the end mark {self.end!r} needs a character that no other mark has")
+        marks = [*self.begin[:1], told]
+        letters = [c for c in "bhlxyz" if c not in (*marks, self.after_role[0])]
+        if self.codes is None:
+            plain = dict.fromkeys((ESCAPE, *marks))
+            codes = tuple((c, ESCAPE + letter) for c, letter in zip(plain, letters))
+            object.__setattr__(self, "codes", codes)
+        if self.role_codes is None:
+            first = self.after_role[0]
+            code = ESCAPE + ("n" if first != "n" and "n" not in marks else letters[-1])
+            known = any(first == plain for plain, _ in self.codes)
+            object.__setattr__(self, "role_codes", () if known else ((first, code),))
+        both = self.codes + self.role_codes
+        written = "".join(code for _, code in both)
+        if self.codes[0][0] != ESCAPE or len({c for _, c in both}) < len(both):
+            raise ValueError("the escape character has the first code, and codes differ")
+        for mark, codes, beside in ((self.end, self.codes, others), (self.after_role, both, "")):
+            if not any(c in mark and c not in written + beside for c, _ in codes):
+                raise ValueError(f"the mark {mark!r} may occur in a text: none of its characters has a code")
+
+
+ESCAPE = "\\"
 CHAT = Template()
 
 
@@ -115,15 +147,16 @@ def parsed(text: Column, template: Template = CHAT) -> Column:
     """The turns (role, text) of a formatted conversation."""
 
     def turn(piece: Column) -> Column:
-        head = F.substring_index(piece, template.after_role, 1)
-        role = F.substr(head, F.lit(len(template.begin) + 1))
-        body = F.substr(piece, F.length(head) + len(template.after_role) + 1)
+        turn = F.substr(piece, F.lit(len(template.begin) + 1))
+        role = F.substring_index(turn, template.after_role, 1)
+        body = F.substr(turn, F.length(role) + len(template.after_role) + 1)
         return F.struct(
             unescaped(role, template.codes + template.role_codes).alias("role"),
             unescaped(body, template.codes).alias("text"),
         )
 
-    pieces = F.split(text, template.end)
+    quoted = "\\E\\\\E\\Q".join(template.end.split("\\E"))
+    pieces = F.split(text, f"\\Q{quoted}\\E", -1)
     return F.transform(F.slice(pieces, 1, F.size(pieces) - 1), turn)
 
 

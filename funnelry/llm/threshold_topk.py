@@ -9,8 +9,8 @@ that equals the k-th result does not stop it. The best k of each block are merge
 
 Scores are inner products of whole numbers, floor(scale * component). Edge cases: vectors that are
 NULL or hold NULL or non-finite components, and rows without id, take no part; only vectors of the
-query's length are its candidates; numbers beyond +-2**25 are set there, so that 4,096 products
-fit in a long; equal scores go to the smaller id; rows with the query's own id are no candidates
+query's length are its candidates; a number or a score that is no long is an error, and larger steps
+on the way to one that is are taken in whole numbers of any size; equal scores go to the smaller id; rows with the query's own id are no candidates
 of it, other repeated rows each are; no rows give no result.
 """
 
@@ -27,20 +27,18 @@ from funnelry.llm.stores import pick, stored
 
 SCALE = 64
 K = 20
-LIMIT = 1 << 25
 CANDIDATES = 4096
 QUERIES = 1024
-FIRST_DEPTH = 4
-#: Lists are read to the end from the depth on where their entries are this part of a block.
-READ_ALL = 2
-#: Queries that are scored at once when all lists are read.
-TOGETHER = 256
+#: The bound is tested at the first depth and at depths that grow by this factor.
+FIRST_DEPTH, DEEPER = 4, 1.2
+LONG = 1 << 63
 
 
 def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
     def number(x: Column) -> Column:
         wide = F.lit(float(scale)) * x.cast("double")
-        return F.floor(F.greatest(F.least(wide, F.lit(float(LIMIT))), F.lit(float(-LIMIT)))).cast("int")
+        far = F.raise_error(F.lit("a component is too large for a whole number")).cast("long")
+        return F.when(F.abs(wide) < F.lit(float(LONG)), F.floor(wide)).otherwise(far)
 
     return F.transform(vector, number)
 
@@ -62,67 +60,66 @@ def best(score: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
         near = np.flatnonzero(score >= np.partition(score, -k)[-k])
     else:
         near = np.arange(len(score))
+    if score.dtype == object:
+        return near[sorted(range(len(near)), key=lambda i: (-score[near[i]], place[near[i]]))][:k]
     return near[np.lexsort((place[near], -score[near]))][:k]
 
 
 def search_block(
-    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
+    query_ids: np.ndarray,
+    queries: np.ndarray,
+    ids: np.ndarray,
+    vectors: np.ndarray,
+    k: int,
+    reached: list[int] | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of each query's k best in this block."""
+    """(query id, id, score) of each query's k best in this block.
+
+    `reached` gets the depth at which each query has stopped; the length of the lists if the bound
+    never fell below its k-th result.
+    """
     by_id = np.argsort(ids, kind="stable")
     ids, vectors = ids[by_id], vectors[by_id]
     n, dims = vectors.shape
-    largest = max(int(np.abs(vectors).max(initial=0)), int(np.abs(queries).max(initial=0)))
-    kind = np.float64 if largest * largest * max(dims, 1) < 1 << 53 else np.int64
+    size = lambda x: max((abs(int(x.min(initial=0))), abs(int(x.max(initial=0)))))
+    most = size(queries) * size(vectors) * max(dims, 1)
+    kind = np.float64 if most < 1 << 53 else np.int64 if most < LONG else object
     vectors, queries = vectors.astype(kind), queries.astype(kind)
     lists = np.argsort(vectors, axis=0, kind="stable")
     ordered = np.take_along_axis(vectors, lists, 0)
-    depths = np.unique([min(FIRST_DEPTH << i, n) for i in range(max(1, n.bit_length()))])
+    rank = np.empty(lists.shape, np.int16 if n < 1 << 15 else np.int64)
+    np.put_along_axis(rank, lists, np.arange(n, dtype=rank.dtype)[:, None], 0)
+    rank = np.ascontiguousarray(rank.T)
+    steps = math.ceil(math.log(max(n, 2)) / math.log(DEEPER))
+    depths = np.unique([min(n, int(FIRST_DEPTH * DEEPER**i)) for i in range(steps + 1)] + [n])
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
     bounds = up @ ordered[n - depths].T + down @ ordered[depths - 1].T
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def read(at: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Candidates met down to a depth, and their scores."""
-        seen = np.zeros(n, bool)
-        seen[lists[n - depth :, queries[at] > 0]] = True
-        seen[lists[:depth, queries[at] < 0]] = True
-        met = np.flatnonzero(seen)
-        met = met[ids[met] != query_ids[at]]
-        return met, vectors[met] @ queries[at]
-
-    def result(at: int, met: np.ndarray, score: np.ndarray) -> None:
-        top = best(score, met, k)
-        out.append((np.full(len(top), query_ids[at]), ids[met[top]], score[top].astype(np.int64)))
-
-    to_the_end = []
     for at in range(len(queries)):
-        step, enough = -1, 0
-        while step < enough:
-            step = enough
-            if depths[step] == n or depths[step] * dims >= n // READ_ALL:
-                to_the_end.append(at)
+        step = 0
+        while True:
+            depth = int(depths[step])
+            # Met: among the last entries of a list that raises the score, or the first of one that lowers it.
+            low = np.where(queries[at] < 0, depth, 0).astype(rank.dtype)[:, None]
+            high = np.where(queries[at] > 0, n - depth, n).astype(rank.dtype)[:, None]
+            seen = ((rank < low) | (rank >= high)).any(axis=0) | (depth == n)
+            met = np.flatnonzero(seen & (ids != query_ids[at]))
+            score = vectors[met] @ queries[at] if 2 * len(met) < n else (vectors @ queries[at])[met]
+            if depth == n:
                 break
-            met, score = read(at, depths[step])
+            below = np.zeros(0, np.int64)
             if len(score) >= k:
-                # The k-th result can only rise, so the first depth with a lower bound is enough.
                 below = np.flatnonzero(bounds[at] < np.partition(score, -k)[-k])
-                enough = max(step, int(below[0]) if len(below) else len(depths) - 1)
-            else:
-                enough = min(step + 1, len(depths) - 1)
-        else:
-            result(at, met, score)
-    # Lists that must be read to meet most candidates are read to their ends, many queries at once.
-    for begin in range(0, len(to_the_end), TOGETHER):
-        some = to_the_end[begin : begin + TOGETHER]
-        scores = queries[some] @ vectors.T
-        reach = np.partition(scores, -min(k + 1, n), axis=1)[:, -min(k + 1, n)]
-        for at, score, least in zip(some, scores, reach, strict=True):
-            met = np.flatnonzero(score >= least)
-            if (ids[met] == query_ids[at]).sum() > 1:  # repeated rows of the query itself
-                met = np.arange(n)
-            met = met[ids[met] != query_ids[at]]
-            result(at, met, score[met])
+                if len(below) and below[0] <= step:
+                    break
+            # The k-th result can only rise, so the first depth with a lower bound is enough.
+            step = int(below[0]) if len(below) else step + 1 if len(score) < k else len(depths) - 1
+        if reached is not None:
+            reached.append(int(depth))
+        top = best(score, met, k)
+        if kind is object and any(abs(x) >= LONG for x in score[top]):
+            raise OverflowError("a score is too large for a long")
+        out.append((np.full(len(top), query_ids[at]), ids[met[top]], score[top].astype(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 

@@ -1,5 +1,5 @@
 import pytest
-from hypothesis import given, settings
+from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -46,6 +46,47 @@ def test_round_trip(spark, turns):
     assert [tuple(t) for t in found.turns] == turns
 
 
+def turned_back(spark, template, turns):
+    rows = [(1, k, r, t, 1) for k, (r, t) in enumerate(turns)]
+    found = chat.formatted(spark.createDataFrame(rows, SCHEMA), template)
+    found = found.select(chat.parsed(F.col("formatted"), template).alias("turns"), "formatted").first()
+    assert [tuple(t) for t in found.turns] == turns
+    assert found.formatted.count(template.end) == len(turns)
+
+
+@pytest.mark.parametrize(
+    "marks",
+    [
+        ("<|im_start|>", "\n", "<|im_end|>\n"), ("[T] ", ": ", "[/T]\n"), ("$", "|", "$."), ("", "\t", "***"),
+        ("\n\nRole ", "\n", "\r\n"), ("(", ")", "\x1e"), ("^", "?", "+\\E+"), ("b", "n", "h"),
+    ],
+)
+def test_any_template(spark, marks):
+    template = chat.Template(*marks)
+    awkward = "".join(marks) + "\\b\\h\\l\\n\\x" + marks[2]
+    turned_back(spark, template, [("user", "one"), (awkward, awkward), ("", ""), ("assistant", "|im_end|> \\E x")])
+
+
+@settings(max_examples=25, deadline=None, phases=[Phase.generate])
+@given(
+    st.tuples(*(st.text("|[$#<\n*(a", min_size=k, max_size=4) for k in (0, 1, 1))),
+    st.lists(st.tuples(*(st.text("|[$#<\n*(a\\bn", max_size=8) for _ in range(2))), min_size=1, max_size=4),
+)
+def test_round_trip_of_any_template(spark, marks, turns):
+    try:
+        template = chat.Template(*marks)
+    except ValueError:
+        assert set(marks[2]) <= set(marks[0] + marks[1] + chat.ESCAPE) or marks[1][0] in chat.ESCAPE
+        return
+    turned_back(spark, template, turns)
+
+
+@pytest.mark.parametrize("wrong", [{"end": ""}, {"after_role": ""}, {"end": "[/T]", "codes": chat.CHAT.codes}, {"end": "\\\\"}, {"begin": "\n\nRole ", "end": "\n\n"}])
+def test_marks_that_a_text_could_hold_are_errors(wrong):
+    with pytest.raises(ValueError):
+        chat.Template(**wrong)
+
+
 def test_ties_and_nulls(spark):
     rows = [(None, 1, "user", "b"), (None, None, "user", "a"), (None, 1, "user", "a"), (None, 1, "user", "a")]
     found = formatted(spark, *rows).select("conv_id", chat.parsed(F.col("formatted")).alias("turns")).collect()

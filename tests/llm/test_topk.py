@@ -41,16 +41,39 @@ def test_edge_rows(spark):
     rows = [
         (0, [1.0, 0.5]), (20, [0.0, 0.0]), (1, None), (2, [1.0, None]), (3, [nan, 1.0]), (4, [inf, 1.0]),
         (5, [1.0, 0.5]), (6, [0.5]), (40, [2.0]), (None, [9.0, 9.0]), (7, [-1.0, -1.0]), (8, []), (60, []),
-        (9, [1e30, -1e30]),
+        (9, [1e15, -1e15]), (10, [1e13, 3e12]),
     ]
     result = threshold_topk.top_k(vectors(spark, *rows), F.col("vec_id") % 20 == 0).collect()
-    expected = [r for r in brute([r for r in rows if r[0] != 9], 20, 20) if r[0] in (40, 60)]
-    assert sorted(tuple(r) for r in result if r.query_id in (40, 60)) == expected
-    assert [r.vec_id for r in result if r.query_id == 20] == [0, 5, 7, 9]
-    assert [r.vec_id for r in result if r.query_id == 0] == [9, 5, 20, 7]
+    assert sorted(map(tuple, result)) == brute(rows, 20, 20)
+    assert [r.vec_id for r in result if r.query_id == 20] == [0, 5, 7, 9, 10]
+    assert [r.vec_id for r in result if r.query_id == 0] == [9, 10, 5, 20, 7]
     assert threshold_topk.top_k(vectors(spark), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_large_components_keep_their_value(spark):
+    rows = [(0, [1.0]), (1, [600_000.0]), (2, [700_000.0])]
+    result = threshold_topk.top_k(vectors(spark, *rows), F.col("vec_id") == 0).collect()
+    assert sorted(map(tuple, result)) == [(0, 1, 2, 2_867_200_000), (0, 2, 1, 2_457_600_000)]
+
+
+def test_only_scores_beyond_a_long_are_errors(spark):
+    huge = [(0, [1e9, 1e9]), (1, [1e9, -1e9]), (2, [-1e9, 1e9])]  # products are no longs, their sums are
+    result = threshold_topk.top_k(vectors(spark, *huge), F.col("vec_id") == 0).collect()
+    assert sorted(map(tuple, result)) == brute(huge, 20, 20)
+    for far in ([1e30, 0.0], [1e16, 0.0]):
+        with pytest.raises(Exception, match="too large"):
+            threshold_topk.top_k(vectors(spark, (0, [1e5, 0.0]), (1, far)), F.col("vec_id") == 0).collect()
+
+
+@pytest.mark.parametrize(("shape", "share"), [("long tails", 1.0), ("even", 0.9)])
+def test_queries_end_by_the_bound(shape, share):
+    pick = np.random.default_rng(4)
+    given = (pick.pareto(1.5, (4_000, 3)) if shape == "long tails" else pick.uniform(-1, 1, (4_000, 8))) * 64
+    given, reached = np.floor(given).astype(np.int64), []
+    threshold_topk.search_block(np.arange(50), given[:50], np.arange(4_000), given, 20, reached)
+    assert np.mean(np.array(reached) < 4_000) >= share
+
+
 def test_repeated_rows(spark):
     rows = [(0, [1.0]), (0, [1.0]), (1, [1.0]), (1, [1.0]), (2, [0.5])]
     result = threshold_topk.top_k(vectors(spark, *rows), F.col("vec_id") == 0).collect()
