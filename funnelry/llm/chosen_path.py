@@ -307,7 +307,36 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, similar: int = SIMILAR)
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", kept)
 
 
+#: Numbers from here on stand for rows without id; equal texts have the same.
+WITHOUT_ID = 1 << 62
+
+
+def row_number_of(ident: Column, text: Column) -> Column:
+    """The id, or a number that follows from the text; NULL for a row with neither id nor words."""
+    follows = F.xxhash64(text).bitwiseAND(F.lit(WITHOUT_ID - 1)) + F.lit(WITHOUT_ID)
+    return F.coalesce(ident, F.when(text.rlike(r"[^\x20\x09-\x0D]"), follows))
+
+
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """One document of each component, with its columns; rows that repeat an id are all kept."""
-    found = stored(near_duplicates(docs, **how), "near_duplicates")
-    return without(docs, found.where("NOT kept").select("doc_id").distinct(), "doc_id")
+    """One row of each component, with its columns.
+
+    It is the row with the smallest id. Of rows that repeat this id with an equal text one stays, the
+    smallest by all columns, which must be orderable; different texts under it all stay. Rows without id are near duplicates of others like any row and give way
+    to those with an id; among themselves the one with the smallest number by its text stays. Rows
+    with neither id nor words are all kept.
+    """
+    numbered = pick(docs, doc_id="doc_id", text="text")
+    numbered = numbered.select(row_number_of(F.col("doc_id"), F.col("text")).alias("doc_id"), "text")
+    found = stored(near_duplicates(numbered, **how).select("doc_id", "kept"), "near_duplicates")
+    places = [f"_{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*places)
+    ident, text = (F.col(places[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    rows = rows.withColumn("_number", row_number_of(ident, text))
+    rows = without(rows, found.where("NOT kept").select("doc_id").distinct(), "_number")
+    # Few numbers stand for several rows; only their rows meet, one of each number and task.
+    counts = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    several = stored(counts.where("n > 1").select("doc_id"), "several")
+    alone = without(rows, several, "_number").select(*places)
+    repeated = rows.join(several, F.col("_number") == F.col("doc_id"), "left_semi")
+    least = repeated.groupBy("_number", F.xxhash64(text).alias("_text")).agg(F.min(F.struct(*places)).alias("row"))
+    return alone.unionByName(least.select("row.*")).toDF(*docs.columns)

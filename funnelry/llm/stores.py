@@ -8,24 +8,24 @@ deleted when the application has ended.
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from funnelry.sources.shared import shared_root
+
 #: Rows of a side that is sent to every executor. It holds a few long integers a row.
 MAX_BROADCAST_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`; a new local folder only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark, "_llm_folder", None) or tempfile.mkdtemp(prefix="checkpoint-")
-        spark._llm_folder = found
-    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
+    """The session's `spark.checkpoint.dir`; a local folder only where this machine is the only one."""
+    found = shared_root(spark)
+    if found is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return found
 
 
 def new_path(spark: SparkSession, what: str) -> str:

@@ -94,3 +94,29 @@ def test_near_copies_from_four_fifths_on(spark, folder):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = corpus_pipeline.near_duplicates(spark, docs, folder[0])
     assert sorted(r.doc_id for r in kept.collect()) == expected
+
+
+def test_repeated_rows_and_rows_without_id_are_near_duplicates(spark, folder):
+    text = " ".join(f"w{k}" for k in range(40))
+    other = " ".join(f"v{k}" for k in range(40))
+    long = " ".join(f"l{k}" for k in range(60_000))
+    rows = [
+        (None, text), (None, text), (7, other), (7, other), (7, "short one"), (8, other + " more"), (None, other),
+        (9, long), (None, long + " end"), (10, None), (10, None), (None, ""), (None, ""), (11, "a lone one"), (11, "a lone one"),
+    ]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, TEXT int").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, folder[0])
+    assert kept.columns == docs.columns
+    found = [(r[0], r[1]) for r in kept.collect()]
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(found, key=key) == sorted(
+        [(None, text), (7, other), (7, "short one"), (9, long), (10, None), (None, ""), (None, ""), (11, "a lone one")], key=key
+    )
+
+
+def test_a_folder_of_this_machine_is_not_used_on_a_cluster(spark, monkeypatch):
+    from funnelry.llm import stores
+
+    monkeypatch.setattr(stores, "shared_root", lambda spark: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stores.new_path(spark, "x")
