@@ -77,6 +77,57 @@ def test_chi_square_tail(spark, x, df, p):
     assert found == (None if p is None else pytest.approx(p, rel=1e-3, abs=1e-200))
 
 
+def close(found, wanted):
+    """To 1e-12 of the value; below the normal numbers as far as they have digits."""
+    return abs(found - wanted) <= 1e-12 * abs(wanted) + 1e-322
+
+
+def test_normal_tail_far_out(spark):
+
+    zs = [i / 50 for i in range(0, 1901)] + [1e-300, 1e-9, 2.8284271, 2.82842712475, 39.0, 60.0]
+    df = spark.createDataFrame([(z,) for z in zs] + [(None,)], "z double")
+    found = df.select("z", two_sided_p(F.col("z")).alias("p"), two_sided_p(-F.col("z")).alias("q")).collect()
+    for z, p, q in found:
+        assert p == q
+        assert p is None if z is None else close(p, math.erfc(z / math.sqrt(2))), z
+
+
+def exact_chi2_p(x, df):
+    """The finite sum in decimal numbers of 60 digits."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    h = Decimal(x) / 2
+    if df % 2:
+        term, total = (-h).exp() / (Decimal(math.pi).sqrt() / 2) * h.sqrt(), Decimal(math.erfc(math.sqrt(x / 2)))
+        places = [Decimal(k) + Decimal("0.5") for k in range(1, df // 2)]
+    else:
+        term, total = (-h).exp(), Decimal(0)
+        places = [Decimal(k) for k in range(1, df // 2)]
+    if df > 1:
+        total += term
+    for s in places:
+        term *= h / s
+        total += term
+    return float(total)
+
+
+@pytest.mark.parametrize("df", [1, 2, 3, 4, 5, 9, 19, 20, 21, 22, 23, 100, 101, 999, 10_000])
+def test_chi_square_tail_to_twelve_digits(spark, df):
+    factors = [1e-3, 0.3, 0.8, 0.97, 0.999, 1.0, 1.0001, 1.03, 1.2, 1.5, 2.0, 4.0]
+    xs = [df * f for f in factors] + [x for x in (30.0, 600.0, 1300.0) if df < 1000]
+    rows = spark.createDataFrame([(x, df) for x in xs], "x double, df int")
+    for x, p in rows.select("x", chi2_p(F.col("x"), F.col("df"))).collect():
+        wanted = exact_chi2_p(x, df)
+        # Odd sums start with the decimal value of a float, good to 16 digits of its own.
+        assert close(p, min(1.0, wanted)), (x, df, p, wanted)
+
+
+def test_tails_run_in_the_jvm(spark):
+    df = spark.createDataFrame([(1.0, 3)], "x double, df int").select(two_sided_p(F.col("x")), chi2_p(F.col("x"), F.col("df")))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chi_square_tail_for_very_many_segments(spark):
     (found,) = one(spark, chi2_p(F.lit(1e6), F.lit(1_000_000)))
     assert found == pytest.approx(0.4998, abs=1e-3)
