@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +13,11 @@ from funnelry.fixed_values import NA_WORDS, TARGET_EVENTS
 from funnelry.functions.sampling import keep_buckets_for, sample_users
 from funnelry.functions.times import epoch_seconds
 from funnelry.schema import EVENT_COLUMNS, RAW_COLUMNS, RAW_SCHEMA, REQUIRED_COLUMNS
+from funnelry.sources.csv_records import headers, parsed, records
 
 # Quotes are doubled inside quoted fields. A record is one line unless asked otherwise, which keeps
 # files splittable. A file whose header is not the one that its columns are read by is an error.
 CSV_OPTIONS = {"header": True, "escape": '"', "mode": "PERMISSIVE", "enforceSchema": False}
-# Headers that are read at the same time.
-HEADER_READERS = 16
 
 
 def schema_of(names: Sequence[str], path: str) -> T.StructType:
@@ -37,14 +35,11 @@ def file_schema(spark: SparkSession, path: str) -> T.StructType:
 
 
 def files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The files of a path by their header. Files are listed, and their first lines read."""
+    """The files of a path by their header. Files are listed, and all first lines read in one job."""
     listed = spark.read.format("binaryFile").load(path).where("length > 0").select("path")
     paths = sorted(r.path for r in listed.collect())  # names, not contents
-    header = lambda file: tuple(spark.read.options(**CSV_OPTIONS).csv(file).columns)
-    with ThreadPoolExecutor(HEADER_READERS) as readers:
-        headers = list(readers.map(header, paths))
     found: dict[tuple[str, ...], list[str]] = {}
-    for names, file in zip(headers, paths):
+    for file, names in sorted(headers(spark, paths).items() if paths else ()):
         found.setdefault(names, []).append(file)
     return found
 
@@ -56,18 +51,20 @@ def read_raw_csv(
 
     Empty fields are NULL, and with `na_words` so are the usual words for a missing value.
     Numbers that cannot be read are NULL. With `multi_line`, quoted fields may hold line breaks;
-    a file is then read by one task.
+    files are then read twice, still by as many tasks as they have splits.
     """
-    options = CSV_OPTIONS | {"multiLine": multi_line}
     groups = files_by_header(spark, path)
     if not groups:
         return spark.createDataFrame([], RAW_SCHEMA).select(*RAW_COLUMNS)
-    raw = (
-        spark.read.options(**options).schema(schema_of(names, files[0])).csv(files)
-        for names, files in groups.items()
-    )
-    rows = reduce(DataFrame.unionByName, (df.select(*RAW_COLUMNS) for df in raw))
-    return blank_to_null(rows, na_words)
+
+    def read(names: tuple[str, ...], files: list[str]) -> DataFrame:
+        schema = schema_of(names, files[0])
+        if multi_line:
+            return parsed(records(spark, files), schema, {"escape": '"', "mode": "PERMISSIVE"})
+        return spark.read.options(**CSV_OPTIONS).schema(schema).csv(files)
+
+    parts = (read(names, files).select(*RAW_COLUMNS) for names, files in groups.items())
+    return blank_to_null(reduce(DataFrame.unionByName, parts), na_words)
 
 
 def blank_to_null(raw: DataFrame, na_words: bool = True) -> DataFrame:
