@@ -288,14 +288,14 @@ tidy AS (
   WHERE t IS NOT NULL AND user_id IS NOT NULL AND user_session IS NOT NULL)"""
 
 STEPS_OF_LOAD = f"""kept AS (
-  SELECT event_id % 3 AS batch, user_id FROM raw
+  SELECT event_id % 2 AS batch, user_id FROM raw
   WHERE try_strptime(replace(event_time, ' UTC', ''), '%Y-%m-%d %H:%M:%S') IS NOT NULL
     AND user_id IS NOT NULL AND user_session IS NOT NULL AND {IN_SAMPLE}),
 first_batch AS (SELECT user_id, min(batch) AS batch FROM kept GROUP BY user_id),
 batches AS (
   SELECT b::BIGINT AS batch, (SELECT count(*) FROM kept WHERE kept.batch = b) AS events,
          (SELECT count(*) FROM first_batch WHERE first_batch.batch = b) AS users
-  FROM range(3) AS t(b))"""
+  FROM range(2) AS t(b))"""
 
 COHORT = """cohort AS (SELECT DISTINCT user_id FROM shop WHERE event_type = 'purchase' AND event_ts >= 1705276800)"""
 EVENT_ROWS = """event_time, event_ts, event_type, product_id, category_code, brand, price, user_id, user_session"""
@@ -397,6 +397,12 @@ UNION ALL SELECT 'users with purchase but no view (ever)', {_without_view("user_
             f"SELECT count(*) AS events, count(DISTINCT user_id) AS users FROM tidy WHERE {IN_SAMPLE}",
             TIDY,
         ),
+        "multi_line_csv": _query(
+            """SELECT nullif(event_time, '') AS event_time, event_type, product_id,
+  nullif(category_code, '') AS category_code,
+  nullif(CASE WHEN event_id % 5 = 0 THEN brand || chr(10) || '"and", more' ELSE brand END, '') AS brand,
+  price, user_id, user_session FROM shop"""
+        ),
         "running_load": _query(
             """SELECT *, (sum(events) OVER (ORDER BY batch))::BIGINT AS total_events,
   (sum(users) OVER (ORDER BY batch))::BIGINT AS total_users FROM batches""",

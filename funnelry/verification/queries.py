@@ -24,7 +24,13 @@ from funnelry.operators.ntile import ntile
 from funnelry.plans import by_user, inference, reports, rollup
 from funnelry.schema import RAW_COLUMNS
 from funnelry.sources import event_table, layouts
-from funnelry.sources.csv_events import CSV_OPTIONS, blank_to_null, calibration, normalise
+from funnelry.sources.csv_events import (
+    CSV_OPTIONS,
+    blank_to_null,
+    calibration,
+    normalise,
+    read_raw_csv,
+)
 from funnelry.sources.driver_events import clickstream
 from funnelry.sources.event_table import clustered, load_report
 from funnelry.sources.shared import required_path, shared_root, state_of
@@ -37,7 +43,7 @@ SAMPLE_BUCKETS = 3000
 SAMPLE_TARGET = 2000
 SAMPLE_FRACTION = 0.25
 SMALL_SAMPLE_BUCKETS = 300
-LOAD_STEPS = 3
+LOAD_STEPS = 2
 USER_BUCKETS = 8
 COHORT_SINCE = 1_705_276_800  # 2024-01-15 00:00:00 UTC
 COHORT_VIEWERS = 30
@@ -117,6 +123,17 @@ def reloaded(events: DataFrame) -> DataFrame:
     return event_table.read_events(events.sparkSession, path)
 
 
+def from_multi_line_files(events: DataFrame) -> DataFrame:
+    """The raw columns out of CSV files where some brands go over two lines."""
+    path = required_path(events.sparkSession, "lines")
+    broken = F.concat(F.col("brand"), F.lit('\n"and", more'))
+    brand = F.when(F.pmod(F.col("event_id"), F.lit(5)) == 0, broken).otherwise(F.col("brand"))
+    raw = events.withColumn("brand", brand).select(*RAW_COLUMNS)
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    raw.write.options(**CSV_OPTIONS, **kept).csv(path)
+    return read_raw_csv(events.sparkSession, path, multi_line=True)
+
+
 def in_user_buckets(events: DataFrame) -> layouts.UserBuckets:
     spark, table = events.sparkSession, f"buckets_{uuid.uuid4().hex}"
     layouts.save_user_buckets(events, table, USER_BUCKETS, required_path(spark, "buckets"))
@@ -234,6 +251,7 @@ def over_events() -> dict[str, Callable[[DataFrame], DataFrame]]:
         "calibrate_keep_buckets": calibrated,
         "normalise_events": normalised,
         "load_report": loaded,
+        "multi_line_csv": from_multi_line_files,
         "running_load": loaded_in_steps,
         "reloaded_table": reloaded,
         "sample_from_files": sampled_from_files,
