@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -56,3 +57,53 @@ def test_empty_corpus(spark, documents):
     model = licences.train(documents((1, None)))
     found = licences.scan(documents((1, "Licensed under CC BY-NC 4.0.")), model).collect()
     assert [r.family for r in found] == ["CC-BY-NC"]
+
+
+@pytest.mark.parametrize(
+    ("text", "family"),
+    [
+        ("it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "LGPL"),
+        ("it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "AGPL-3.0"),
+        ("it under the terms of the GNU General Public License as published by the Free Software Foundation", "GPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"),
+        ("Released under the GNU General Public License v2", "GPL-2.0"),
+        ("Released under the GNU General Public License v3", "GPL-3.0"),
+        ("Licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        ("Licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+        ("Licensed under CC BY-ND 4.0.", "CC-BY-ND"), ("Licensed under CC BY 4.0.", "CC-BY"),
+        ("Released under the ISC License.", "ISC"), ("Licensed under the Eclipse Public License 2.0.", "EPL-2.0"),
+        ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"), ("Licensed under the BSD 3-Clause License.", "BSD"),
+        ("This project is not licensed under the terms of the MIT license.", None),
+        ("Licensed under the Apache License, Version 1.1.", None), ("Released under the GNU General Public License v4", None),
+        ("Unlike others, released under the MIT License.", None), ("Licensed under CC BY-NC-ND 4.0.", None),
+        ("The MIT license and the Apache license are discussed in the third chapter of this book.", None),
+    ],
+)
+def test_versions_families_and_denials(spark, model, documents, text, family):
+    found = [r.family for r in licences.scan(documents((1, text)), model).collect()]
+    assert found == ([family] if family else [])
+
+
+def common_words(text, family):
+    """The largest share of a notice's words, each as often as it occurs, that the text has."""
+    clean = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
+    have = Counter(clean(text))
+    return max((have & Counter(clean(n))).total() / len(clean(n)) for n in licences.NOTICES[family])
+
+
+def test_comparison_never_exceeds_the_share_of_common_words():
+    pick = random.Random(5)
+    for family, notices in licences.NOTICES.items():
+        for notice in notices:
+            assert licences.nearest(notice, family) == 1.0
+            words = notice.split()
+            for _ in range(5):
+                other = " ".join(w if pick.random() > 0.2 else "green" for w in words)
+                assert licences.nearest(other, family) <= common_words(other, family) + 1e-9
+
+
+def test_the_sample_is_the_same_whatever_the_partitions(spark):
+    rows = [(i, f"line {i % 700} of some text\nReleased under the MIT License.\n{'long ' * 3000}{i % 9}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (licences._corpus_sample(d.select("text"), 100) for d in (docs.repartition(2), docs.repartition(9)))
+    assert one == two and 98 <= len(one) <= 100 and not any("MIT" in line for line in one)
