@@ -1,4 +1,11 @@
-"""The corpus pipeline: documents through five operators, each stage written and read again."""
+"""The corpus pipeline: documents through five operators, each stage written and read again.
+
+Edge cases are those of the operators. A NULL or empty text is accepted, has no duplicates, passages
+or benchmark words, and weighs nothing in the mix, which therefore leaves it out. Of repeated rows one
+stays after the near-duplicate stage, also of those without an id that have words; texts of any length
+are read whole; further columns, also those whose names differ only in case, go through unchanged; an
+empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
