@@ -86,7 +86,8 @@ STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
 
 def poisson_term(s: Column, h: Column) -> Column:
     """h ** s * exp(-h) / gamma(s + 1) for s = 0, 1/2, 1, ... and h > 0."""
-    gammas = F.array(*(F.lit(math.gamma(n / 2 + 1)) for n in range(2 * STIRLING_FROM)))
+    values = (math.gamma(n / 2 + 1) for n in range(2 * STIRLING_FROM))
+    gammas = F.expr(f"array({', '.join(f'{v!r}D' for v in values)})")
     small = F.pow(h, s) * F.exp(-h) / F.element_at(gammas, (s * 2).cast("int") + 1)
     # In logarithms, as a distance from the largest term, so that large numbers do not cancel.
     off = (h - s) / s
