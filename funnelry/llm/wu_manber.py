@@ -6,17 +6,23 @@ until its shift is 0; then the bucket of its last block names the strings that m
 direct comparison of all m words confirms them. Every document is cut into stretches of window ends
 which move in step, so that one array operation moves thousands of windows.
 
-Documents are not shuffled: the tables go to the tasks. Items are taken in blocks of a bounded
-number of text bytes; with several blocks the documents pass one search after another, each adding
-to the hits. Edge cases: NULL texts have no words; an item without words is never found; an item
-of fewer words than a window is one string; items that share a string are all found; rows that
-repeat an item count once; an item without an id is called `null`; without items nothing is found.
+Documents are not shuffled: the tables go to the tasks. The bytes that tables will take are counted
+first, and items are taken in blocks of at most TABLE_BYTES; a longer item is cut into pieces that
+share all but one word of a window. Each block but the last has a job of its own, which stores the
+distinct texts with hits; its tables are given back before the next block is read, so a task and the
+driver hold one block, however large the benchmark. The last pass adds the stored hits to its own.
+
+Edge cases: NULL texts have no words; texts and items of any length are searched whole; an item
+without words is never found; an item of fewer words than a window is one string; items that share a
+string are all found; rows that repeat an item count once; an item without an id is called `null`;
+without items nothing is found; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import string as letters
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,14 +31,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from funnelry.llm.stores import pick, small_batches
+from funnelry.llm.stores import MAX_BROADCAST_ROWS, pick, small_batches, stored
 from funnelry.llm.text import LETTERS_AND_DIGITS, mix, slices, words_of
 
 WINDOW = 13
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LETTERS = (letters.ascii_uppercase, letters.ascii_lowercase)
 #: Hit words are at least one in so many for a document to be contaminated.
 ONE_IN = 20
-#: Text of items whose tables are sent to the tasks at once.
-BLOCK_BYTES = 16 << 20
+#: Strings and buckets that are sent to the tasks at once; shift tables add 2 MB for each length.
+TABLE_BYTES = 64 << 20
+#: Windows of a piece of an item: some 9 MB of tables for windows of 13 words.
+PIECE = 1 << 16
+#: Beside its words a string takes its bucket's hash and place, its item and where its items begin.
+STRING_BYTES = 40
+#: Stored hits that are sent to every executor.
+MAX_BROADCAST_BYTES = 32 << 20
 TABLE_BITS = 20
 #: Window ends of a stretch.
 STRETCH = 256
@@ -184,8 +198,9 @@ def _search_batch(part: pa.RecordBatch, names: list[str], tables: list[Strings])
     ]
 
 
-def _searched(docs: DataFrame, names: list[str], tables: list[Strings]) -> DataFrame:
-    """One pass over documents with the columns `_text`, `_spans` and `_items`."""
+def _searched(docs: DataFrame, names: list[str], tables: list[Strings]) -> tuple[DataFrame, Callable[[], None]]:
+    """One pass over documents with the columns `_text`, `_spans` and `_items`; the second value gives
+    the tables back."""
     sent = docs.sparkSession.sparkContext.broadcast((names, tables))
     own = [f for f in docs.schema if f.name not in ("_words", "_spans", "_items")]
     added = [T.StructField(f"_{n}", f.dataType) for n, f in zip(("words", "spans", "items"), HITS, strict=True)]
@@ -198,33 +213,87 @@ def _searched(docs: DataFrame, names: list[str], tables: list[Strings]) -> DataF
                 columns = kept + _search_batch(part, names, tables)
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in [*own, *added]])
 
-    return docs.mapInArrow(search_all, T.StructType([*own, *added]))
+    return docs.mapInArrow(search_all, T.StructType([*own, *added])), sent.destroy
 
 
-def item_blocks(items: DataFrame) -> Iterator[list]:
-    """The items as lists of rows (id, text) with a bounded number of bytes."""
-    items = pick(items, item_id="item_id", text="text").where("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(2 * total / BLOCK_BYTES)) if total > BLOCK_BYTES else 1
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+def pieces(items: DataFrame, window: int) -> DataFrame:
+    """Distinct (item_id, text, n_bytes): items in pieces, and what their strings take in the tables."""
+    rows = pick(items, item_id="item_id", text="text")
+    words = F.regexp_extract_all(F.translate("text", *LETTERS), F.lit(WORD), F.lit(0))
+    rows = rows.select("item_id", words.alias("words")).where(F.size("words") > 0)
+    windows = F.greatest(F.size("words") - (window - 1), F.lit(1))
+    starts = F.sequence(F.lit(0), F.ceil(windows / PIECE) - 1)
+    cut = F.transform(
+        starts, lambda k: F.slice("words", (k * PIECE + 1).cast("int"), PIECE + window - 1)
+    )
+    rows = rows.select("item_id", F.explode(cut).alias("words"))
+    length = F.least(F.size("words"), F.lit(window))
+    n_bytes = (F.size("words") - length + 1) * (8 * length + STRING_BYTES)
+    return rows.select("item_id", F.array_join("words", " ").alias("text"), n_bytes.alias("n_bytes")).distinct()
+
+
+def item_blocks(items: DataFrame, window: int = WINDOW) -> Iterator[list]:
+    """The items as lists of rows (id, text) whose tables stay below TABLE_BYTES; a single piece may
+    be larger only if TABLE_BYTES is set below what a piece takes."""
+    found = pieces(items, window)
+    sizes = found.agg(F.sum("n_bytes").alias("all"), F.max("n_bytes").alias("most")).first()
+    if (sizes["all"] or 0) <= TABLE_BYTES:
+        yield found.select("item_id", "text").collect()
+        return
+    found = stored(found, "pieces")
+    bound, n = max(TABLE_BYTES, sizes["most"]), math.ceil(sizes["all"] / TABLE_BYTES)
+    block = F.xxhash64("item_id", "text")
+    while True:
+        largest = found.groupBy(F.pmod(block, F.lit(n)).alias("k")).agg(F.sum("n_bytes").alias("b"))
+        if largest.agg(F.max("b")).first()[0] <= bound:
+            break
+        n += math.ceil(n / 2)
     for k in range(n):
-        yield items.where(block == k).collect()
+        yield found.where(F.pmod(block, F.lit(n)) == k).select("item_id", "text").collect()
+
+
+def _known(texts: DataFrame, rows: list, window: int) -> DataFrame:
+    """digest, spans and items of the distinct texts in which a block of items occurs, stored."""
+    empty = texts.select(
+        F.col("_text"), F.lit(None).cast(SPANS).alias("_spans"), F.lit(None).cast("array<string>").alias("_items")
+    )
+    found, give_back = _searched(empty, *_tables(rows, window))
+    found = found.where(F.size("_items") > 0)
+    found = found.select(F.sha2("_text", 256).alias("digest"), "_spans", "_items").dropDuplicates(["digest"])
+    found = stored(found, "hits")
+    give_back()
+    return found
+
+
+def _added(docs: DataFrame, known: list[DataFrame]) -> DataFrame:
+    """Documents with the stored hits of their texts as `_spans` and `_items`."""
+    hits = known[0]
+    for more in known[1:]:
+        hits = hits.unionByName(more)
+    spans, names = F.flatten(F.collect_list("_spans")), F.flatten(F.collect_list("_items"))
+    hits = stored(hits.groupBy("digest").agg(spans.alias("_spans"), names.alias("_items")), "hits")
+    n_bytes = 72 + 16 * F.size("_spans") + F.octet_length(F.array_join("_items", ",")) + 16 * F.size("_items")
+    size = hits.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(n_bytes), F.lit(0)).alias("b")).first()
+    if size.n <= MAX_BROADCAST_ROWS and size.b <= MAX_BROADCAST_BYTES:
+        hits = F.broadcast(hits)
+    return docs.join(hits, F.sha2("_text", 256) == F.col("digest"), "left").drop("digest")
 
 
 def _hits(docs: DataFrame, items: DataFrame, window: int, text_place: int) -> DataFrame:
     """Documents as `_0`, `_1`, ... with `_words`, `_spans` and `_items`."""
     small_batches(docs.sparkSession)
     numbered = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
-    found = numbered.withColumns(
-        {
-            "_text": F.col(f"_{text_place}"),
-            "_spans": F.lit(None).cast(SPANS),
-            "_items": F.lit(None).cast("array<string>"),
-        }
-    )
-    for rows in item_blocks(items):
-        found = _searched(found, *_tables(rows, window))
-    return found.drop("_text")
+    found = numbered.withColumn("_text", F.col(f"_{text_place}"))
+    known, last = [], None
+    for rows in item_blocks(items, window):
+        if last is not None:
+            known.append(_known(found, last, window))
+        last = rows
+    if known:
+        found = _added(found, known)
+    else:
+        found = found.withColumns({"_spans": F.lit(None).cast(SPANS), "_items": F.lit(None).cast("array<string>")})
+    return _searched(found, *_tables(last, window))[0].drop("_text")
 
 
 def _n_hit() -> Column:

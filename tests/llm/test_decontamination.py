@@ -46,9 +46,53 @@ def test_blocks_of_items_agree(spark, documents, monkeypatch):
     docs, wanted = documents(*rows), item_table(spark, *items)
     order = lambda df: sorted(map(str, df.collect()))
     one = order(wu_manber.occurrences(docs, wanted))
-    monkeypatch.setattr(wu_manber, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(wu_manber, "TABLE_BYTES", 3_000)
+    monkeypatch.setattr(wu_manber, "PIECE", 7)
     assert len(list(wu_manber.item_blocks(wanted))) > 3
     assert order(wu_manber.occurrences(docs, wanted)) == one
+    kept = order(wu_manber.decontaminated(docs, wanted))
+    monkeypatch.setattr(wu_manber, "MAX_BROADCAST_ROWS", 0)
+    assert order(wu_manber.occurrences(docs, wanted)) == one
+    monkeypatch.undo()
+    assert order(wu_manber.decontaminated(docs, wanted)) == kept
+
+
+def test_one_block_of_tables_at_a_time(spark, documents, monkeypatch):
+    rows, items = random_tables(6)
+    monkeypatch.setattr(wu_manber, "TABLE_BYTES", 2_000)
+    monkeypatch.setattr(wu_manber, "PIECE", 7)
+    held, most, sizes = set(), [], []
+    searched = wu_manber._searched
+
+    def watched(docs, names, tables):
+        found, give_back = searched(docs, names, tables)
+        held.add(key := object())
+        most.append(len(held))
+        sizes.append(sum(t.words.nbytes + t.bucket.nbytes + t.string.nbytes + t.items.nbytes for t in tables))
+        return found, lambda: (held.discard(key), give_back())
+
+    monkeypatch.setattr(wu_manber, "_searched", watched)
+    wu_manber.occurrences(documents(*rows), item_table(spark, *items)).collect()
+    assert len(most) >= 3 and set(most) == {1} and max(sizes) <= 2_000
+
+
+def test_pieces_of_a_long_item_have_its_windows(spark, monkeypatch):
+    monkeypatch.setattr(wu_manber, "PIECE", 10)
+    words = [f"w{k}" for k in range(64)]
+    windows = lambda w: {tuple(w[k : k + 13]) for k in range(len(w) - 12)}
+    rows = wu_manber.pieces(item_table(spark, (1, " ".join(words).upper()), (1, " ".join(words)), (2, "A b"), (3, "-")), 13).collect()
+    found = [r.text.split() for r in rows if r.item_id == 1]
+    assert len(rows) == len(found) + 1 == 7
+    assert set().union(*map(windows, found)) == windows(words) and sum(len(windows(w)) for w in found) == 52
+
+
+def test_very_long_texts(spark, documents):
+    passage = " ".join(f"p{k}" for k in range(40))
+    noise = " ".join(["x y z"] * 400_000)
+    docs = documents((1, f"{noise} {passage} {noise}"), (2, passage))
+    rows = {r.doc_id: r for r in wu_manber.occurrences(docs, item_table(spark, (1, passage), (2, noise))).collect()}
+    assert (rows[1].n_words, rows[1].n_hit, rows[1]["items"]) == (2_400_040, 2_400_040, ["1", "2"])
+    assert (rows[2].n_hit, rows[2]["items"]) == (40, ["1"])
 
 
 def test_search_as_comparison():
