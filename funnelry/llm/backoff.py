@@ -12,8 +12,10 @@ chunk, however often it occurs. N-grams are told apart by hashes of BITS bits: o
 ones, one in 7 million shares its hash with another, of 10**13 (some 100 TB of text) one in 7,000.
 
 Edge cases: NULL and empty texts have no words and score 0 with a NULL mean; the first words of a
-text have shorter histories; rows that repeat id and text count as documents of their own; a corpus
-of one document scores every word as unseen; an empty table gives an empty result.
+text have shorter histories; rows that repeat id and text count as documents of their own, but travel
+and are scored once with their number, so a row repeated without end is no hot key; texts of any
+length are scored whole; a corpus of one document scores every word as unseen; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from funnelry.llm.grouped import together, whole_groups
-from funnelry.llm.stores import pick, small_batches, stored
+from funnelry.llm.stores import MAX_BROADCAST_ROWS, pick, small_batches, stored
 from funnelry.llm.text import BETWEEN_SPACES, mix, runs, slices, words_of
 
 ORDER = 3
@@ -38,6 +40,8 @@ BACKOFF = 0.4
 CHUNK_BYTES = 8 << 20
 MIN_CHUNKS = 16
 MIN_PARTITIONS = 64
+#: Copies of a row that are put out at once.
+COPIES = 1 << 16
 
 
 def grams(texts: pa.Array, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -77,15 +81,29 @@ def _sliced(table: pa.Table, column: str) -> list[pa.Array]:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Whole numbers, byte place after byte place and compressed."""
+    """Whole numbers from 0 on, byte place after byte place and compressed."""
+    if not len(values) or values.max() < 1 << 32:
+        values = values.astype(np.uint32)
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
-    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    head = len(values).to_bytes(4, "little") + values.itemsize.to_bytes(1, "little")
+    return head + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def unpacked(data: bytes, kind: type) -> np.ndarray:
-    n, size = int.from_bytes(data[:4], "little"), np.dtype(kind).itemsize
-    planes = pa.decompress(data[4:], n * size, "zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
+def unpacked(data: bytes) -> np.ndarray:
+    n, size = int.from_bytes(data[:4], "little"), data[4]
+    planes = pa.decompress(data[5:], n * size, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).reshape(-1).view(f"u{size}")
+
+
+def _counted(found: list[tuple[np.ndarray, np.ndarray]], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order and how often they occur, each row `copies` times."""
+    numbers = np.concatenate([number for _, number in found])
+    if (copies == 1).all():
+        return np.unique(numbers, return_counts=True)
+    number, which = np.unique(numbers, return_inverse=True)
+    count = np.zeros(len(number), np.int64)
+    np.add.at(count, which, copies[np.concatenate([row for row, _ in found])])
+    return number, count
 
 
 def _send(order: int, n_parts: int):
@@ -96,16 +114,17 @@ def _send(order: int, n_parts: int):
             for a, b in zip(borders[:-1], borders[1:], strict=True):
                 table = all_.slice(a, b - a)
                 sizes, found = chunk_grams(_sliced(table, "text"), order)
-                number, count = np.unique(np.concatenate([x for _, x in found]), return_counts=True)
+                copies = table["copies"].to_numpy()
+                number, count = _counted(found, copies)
                 part = ((number >> np.uint64(BITS - 32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
                 first = np.searchsorted(part, np.arange(n_parts + 1))
                 chunk = table["chunk"][0].as_py()
                 # Words are counted once; every partition answers, also with nothing.
                 words = np.zeros(n_parts, np.int64)
-                words[0] = sizes.sum()
+                words[0] = (sizes * copies).sum()
                 for p in range(n_parts):
                     own = slice(first[p], first[p + 1])
-                    row = (p, chunk, int(words[p]), packed(np.diff(number[own], prepend=np.uint64(0))), packed(count[own].astype(np.uint32)))
+                    row = (p, chunk, int(words[p]), packed(np.diff(number[own], prepend=np.uint64(0))), packed(count[own]))
                     types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
                     arrays = [pa.array([x], t) for x, t in zip(row, types, strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays, ["part", "chunk", "words", "numbers", "counts"])
@@ -118,8 +137,8 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for all_, borders in whole_groups(batches, ["part"]):
         for a, b in zip(borders[:-1], borders[1:], strict=True):
             table = all_.slice(a, b - a)
-            sent = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in table["numbers"].to_pylist()]
-            counts = np.concatenate([unpacked(x, np.uint32) for x in table["counts"].to_pylist()])
+            sent = [np.cumsum(unpacked(x), dtype=np.uint64) for x in table["numbers"].to_pylist()]
+            counts = np.concatenate([unpacked(x) for x in table["counts"].to_pylist()])
             distinct, which = np.unique(np.concatenate(sent), return_inverse=True)
             totals = np.bincount(which, counts, len(distinct)).astype(np.int64)[which]
             ends = np.cumsum([len(x) for x in sent])
@@ -171,19 +190,50 @@ def score_rows(
     return total, np.bincount(row_of, backed_off, len(sizes)).astype(np.int64)
 
 
+def _once(rows: DataFrame) -> tuple[DataFrame, int, bool]:
+    """Distinct rows with `hash` and their `copies`, the bytes of their texts, and whether any repeat.
+
+    Only rows whose hash occurs more than once are grouped, and shuffled, by their columns.
+    """
+    rows = rows.withColumn("hash", F.xxhash64("doc_id", "text"))
+    counts = rows.groupBy("hash").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("bytes")
+    )
+    found = counts.agg(F.sum("bytes").alias("bytes"), F.count_if(F.col("n") > 1).alias("repeated")).first()
+    single = rows.withColumn("copies", F.lit(1).cast("long"))
+    if not found.repeated:
+        return single, found.bytes or 0, False
+    marks = stored(counts.where("n > 1").select("hash"), "marks")
+    if found.repeated <= MAX_BROADCAST_ROWS:
+        again = rows.join(F.broadcast(marks), "hash", "left_semi")
+        rest = single.join(F.broadcast(marks), "hash", "left_anti")
+    else:
+        again, rest = rows, None
+    again = again.groupBy("hash", "doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    again = stored(again, "copies")
+    return (again if rest is None else rest.unionByName(again)), found.bytes, True
+
+
+def _all_copies(found: DataFrame) -> DataFrame:
+    """Each row as often as `copies` says, without the column."""
+    left = F.col("copies") - F.lit(1)
+    blocks = found.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(left / COPIES))))
+    last = F.least(left - F.col("_block") * COPIES, F.lit(COPIES - 1))
+    each = blocks.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return each.drop("copies", "_block", "_copy")
+
+
 def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, n_words, log_score, mean_log_score and n_backed_off of every document."""
+    """doc_id, n_words, log_score, n_backed_off and mean_log_score of every document."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = pick(docs, doc_id="doc_id", text="text")
-    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows, total, repeated = _once(rows.withColumn("text", F.coalesce("text", F.lit(""))))
     chunks = max(MIN_CHUNKS, math.ceil(total / CHUNK_BYTES))
     n_parts = max(MIN_PARTITIONS, chunks)
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
-    rows = rows.withColumn("chunk", chunk)
+    rows = rows.withColumn("chunk", F.pmod("hash", F.lit(chunks)).cast("int")).drop("hash")
     schema = "part int, chunk int, words long, numbers binary, counts binary"
-    sent = together(rows.select("chunk", "text"), "chunk").mapInArrow(_send(order, n_parts), schema)
+    sent = together(rows.select("chunk", "text", "copies"), "chunk").mapInArrow(_send(order, n_parts), schema)
     answers = together(sent, "part").mapInArrow(_answer, "chunk int, part int, words long, totals binary")
     answers = stored(answers, "counts")
     n_words = answers.agg(F.sum("words")).first()[0] or 0
@@ -193,19 +243,21 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
             T.StructField("n_words", T.LongType()),
             T.StructField("log_score", T.DoubleType()),
             T.StructField("n_backed_off", T.LongType()),
+            T.StructField("copies", T.LongType()),
         ]
     )
     types = [pa.int64(), pa.float64(), pa.int64()]
 
     def score(texts: pa.Table, totals: pa.Table) -> pa.Table:
         totals = totals.sort_by("part")["totals"].to_pylist()
-        totals = np.concatenate([unpacked(x, np.int64) for x in totals])
+        totals = np.concatenate([unpacked(x) for x in totals]).astype(np.int64)
         sizes, found = chunk_grams(_sliced(texts.select(["text"]), "text"), order)
         total, backed_off = score_rows(sizes, found, totals, n_words)
         values = [pa.array(x, t) for x, t in zip((sizes, total, backed_off), types, strict=True)]
-        return pa.table([texts["doc_id"], *values], names=result.names)
+        return pa.table([texts["doc_id"], *values, texts["copies"]], names=result.names)
 
     grouped = rows.groupBy("chunk").cogroup(answers.select("chunk", "part", "totals").groupBy("chunk"))
     found = grouped.applyInArrow(score, result)
+    found = _all_copies(found) if repeated else found.drop("copies")
     mean = F.col("log_score") / F.nullif("n_words", F.lit(0))
     return found.withColumn("mean_log_score", mean)

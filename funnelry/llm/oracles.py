@@ -103,6 +103,38 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 FROM named
 """
 
+#: c1, c2 and c3 count a word alone and after one and two words, in all other documents.
+OP5 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{SPACED}') AS w
+  FROM documents
+), places AS (
+  SELECT r, len(w) AS n, k, w[k] AS g1, CASE WHEN k > 1 THEN array_to_string(w[k - 1:k], ' ') END AS g2,
+    CASE WHEN k > 2 THEN array_to_string(w[k - 2:k], ' ') END AS g3
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM docs)
+), counted AS (
+  SELECT r, n, k, count(*) OVER () - n AS elsewhere,
+    count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY g1, r) AS c1,
+    CASE WHEN k > 1 THEN count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY g2, r) ELSE 0 END AS c2,
+    CASE WHEN k > 2 THEN count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY g3, r) ELSE 0 END AS c3
+  FROM places
+), histories AS (
+  SELECT *, lag(c1) OVER (PARTITION BY r ORDER BY k) AS h1, lag(c2) OVER (PARTITION BY r ORDER BY k) AS h2
+  FROM counted
+), scored AS (
+  SELECT r, CASE WHEN c3 > 0 THEN ln(c3 / h2) WHEN c2 > 0 THEN ln(c2 / h1) + CASE WHEN k > 2 THEN ln(0.4) ELSE 0 END
+    ELSE ln(greatest(c1, 1) / greatest(elsewhere, 1)) + ln(0.4) * (least(k, 3) - 1) END AS score,
+    CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END < least(k, 3) AS backed_off
+  FROM histories
+), summed AS (
+  SELECT r, fsum(score) AS score, count_if(backed_off)::BIGINT AS n_backed_off FROM scored GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(score, 0), 6) AS log_score,
+  coalesce(n_backed_off, 0)::BIGINT AS n_backed_off, round(score / len(w), 6) AS mean_log_score
+FROM docs LEFT JOIN summed USING (r)
+"""
+
 OP6 = f"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{LETTERED}') AS words
@@ -288,6 +320,7 @@ def all_oracles() -> dict[str, str]:
         "op2_chat_format": OP2,
         "op3_warc_archive": OP3,
         "op4_repeated_passages": OP4,
+        "op5_backoff_scores": OP5,
         "op6_decontamination": OP6,
         "op9_threshold_topk": OP9,
         "op10_mixture": OP10,

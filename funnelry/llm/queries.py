@@ -88,7 +88,8 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.scores(table(spark, sf_dir, "documents"))
+    found = backoff.scores(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

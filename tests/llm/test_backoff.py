@@ -1,9 +1,11 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from funnelry.llm import backoff, queries
+from funnelry.llm import backoff, oracles, queries
 
 
 def brute(rows, order=2):
@@ -64,3 +66,32 @@ def test_query_backs_off_from_three_words(spark, tmp_path):
     found = sorted((str(r.doc_id), r.n_words, r.n_backed_off, round(r.log_score, 6)) for r in found)
     expected = zip(ROWS, brute(ROWS, 3), strict=True)
     assert found == sorted((str(i), n, low, round(s, 6)) for (i, _), (n, s, low) in expected)
+
+
+def test_query_as_sql(spark, tmp_path, duck, same):
+    docs = spark.createDataFrame([*ROWS, (9, "É É é \t x\u00a0y"), (10, "The CAT sat On")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    same(queries.op5_backoff_scores(spark, str(tmp_path)), duck(oracles.OP5, documents=docs))
+
+
+@pytest.mark.parametrize("marks", [500_000, 0])
+def test_a_row_repeated_without_end_travels_once(spark, monkeypatch, marks):
+    monkeypatch.setattr(backoff, "MAX_BROADCAST_ROWS", marks)
+    monkeypatch.setattr(backoff, "COPIES", 1_000)
+    hot, n = (1, "the cat sat on the mat"), 100_000
+    rest = [(2, "the cat ran"), (2, "the cat ran"), (3, "a dog"), (None, None), (None, None)]
+    copies = spark.range(n).select(F.lit(hot[0]).cast("long").alias("doc_id"), F.lit(hot[1]).alias("text"))
+    docs = copies.unionByName(spark.createDataFrame(rest, "doc_id long, text string"))
+    rows, total, repeated = backoff._once(docs)
+    assert repeated and rows.count() == 4 and rows.agg(F.sum("copies")).first()[0] == n + 5 and total < 100
+    found = backoff.scores(docs).groupBy("doc_id", "n_words", "n_backed_off", F.round("log_score", 6)).count()
+    found = {(str(r[0]), r[1], r[2], r[3]): r[4] for r in found.collect()}
+    rows = [hot] * n + rest
+    expected = Counter((str(i), k, low, round(s, 6)) for (i, _), (k, s, low) in zip(rows, brute(rows, 3), strict=True))
+    assert found == expected
+
+
+def test_packed_numbers_come_back():
+    for values in ([], [0, 1, 2**32 - 1], [2**32, 5], [2**63]):
+        values = np.array(values, np.uint64)
+        assert backoff.unpacked(backoff.packed(values)).tolist() == values.tolist()
