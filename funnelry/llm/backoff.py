@@ -151,6 +151,25 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _in_other_rows(found: list[tuple[np.ndarray, np.ndarray]], totals: np.ndarray) -> np.ndarray:
+    """For each n-gram, order after order, its total less its count in its own row.
+
+    One stable sort brings equal numbers together, rows in order within each n; n-grams of different
+    n never share a number but by accident, and then count as one.
+    """
+    row, number = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(number, kind="stable")
+    number, row = number[order], row[order]
+    change = np.ones(len(number), bool)
+    change[1:] = number[1:] != number[:-1]
+    total = totals[np.cumsum(change) - 1]
+    change[1:] |= row[1:] != row[:-1]
+    length = np.diff(np.append(np.flatnonzero(change), len(number)))
+    out = np.empty(len(number), np.int64)
+    out[order] = total - np.repeat(length, length)
+    return out
+
+
 def score_rows(
     sizes: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], totals: np.ndarray, n_words: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -159,17 +178,17 @@ def score_rows(
     `totals` belongs to the sorted distinct numbers of all orders.
     """
     order = len(found)
-    distinct = np.unique(np.concatenate([number for _, number in found]))
     first = np.cumsum(sizes) - sizes
     all_words = int(sizes.sum())
+    elsewhere_of = _in_other_rows(found, totals)
     others: list[np.ndarray] = []  # by order and word: the n-gram's count elsewhere, 0 if too short
-    for n, (row, number) in enumerate(found, 1):
-        place = np.searchsorted(distinct, number)
-        key, which, own = np.unique(row << 32 | place, return_inverse=True, return_counts=True)
+    begin = 0
+    for n, (row, _) in enumerate(found, 1):
         count = np.zeros(all_words, np.int64)
         per_row = np.maximum(sizes - n + 1, 0)
         last = np.repeat(first + n - 1 - np.cumsum(per_row) + per_row, per_row) + np.arange(len(row))
-        count[last] = totals[place] - own[which]
+        count[last] = elsewhere_of[begin : begin + len(row)]
+        begin += len(row)
         others.append(count)
     row_of = np.repeat(np.arange(len(sizes)), sizes)
     elsewhere = (n_words - sizes)[row_of].astype(np.float64)
