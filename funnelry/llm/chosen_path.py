@@ -9,15 +9,16 @@ independent trees starts with all nodes together and branches recursively: a tre
 random 1 / similarity of the signature's places (one, and at 0.85 a second one so often that this is
 the average), and sends each member to the child named by its minwise token there. Children with one
 member end. Small ones are compared exhaustively by signature; large ones branch again, and what is
-still large after the last level counts as alike. Members found alike form clusters, and all sets of
-a cluster are compared in full, so every link of the result is confirmed. A cluster with more
+still large after the last level counts as alike. A node whose signatures fit into a task branches on
+within that task, so only larger ones cost further shuffles. Members found alike form clusters, and
+all sets of a cluster are compared in full, so every link of the result is confirmed. A cluster with more
 bytes than a task should hold is cut into blocks and each pair of blocks compared by a task; from
 a group of copies only the links of a spanning tree are given out, never all pairs.
 
 Two sets at the similarity bound share a child with at least that probability in each of 12 trees
 while nodes are small, so that no tree brings them together less often than once in 10**9; over a
 path of six levels once in some 10**4 (at 0.80 with 14 trees). Their signatures then differ too much
-about once in 10**5. The bound is a parameter, `similar`; what follows from it is derived from it.
+about once in 10**5. Members are compared by the lower bytes of their tokens, which finds no fewer. The bound is a parameter, `similar`; what follows from it is derived from it.
 
 Edge cases: NULL and empty texts have no set, and rows without id no links; they are in a component
 of their own and kept. Rows that share an id count as one node that has all links of its rows.
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelry.llm.components import components
-from funnelry.llm.grouped import together, whole_groups
+from funnelry.llm.grouped import whole_groups
 from funnelry.llm.stores import MAX_BROADCAST_ROWS, pick, small_batches, stored, without
 from funnelry.llm.text import BETWEEN_SPACES, Words, blobs, mix, runs, slices, words_of
 
@@ -46,6 +47,8 @@ TREES = 12
 LEVELS = 6
 #: Members of a tree node that are compared with each other.
 SMALL = 128
+#: Rows that one task may hold of a tree node while it branches on to the last level.
+WITHIN = 1 << 15
 #: Deviations below the expected equal places of two signatures from which sets are compared.
 DEVIATIONS = 4.5
 #: Set bytes of a block of a cluster.
@@ -109,12 +112,14 @@ def signed(docs: DataFrame) -> DataFrame:
         for part in _parts(batches, "text"):
             sets, first = shingles(words_of(part.column(1), BETWEEN_SPACES))
             tokens, digests = signatures(sets, first)
+            # The lower bytes of all places, then the upper ones: see `marks`.
+            planes = tokens.view(np.uint8).reshape(-1, PLACES, 2).transpose(0, 2, 1)
             columns = [
                 part.column(0),
                 pa.array(np.diff(first), pa.int64()),
                 pa.array(digests[:, 0]),
                 pa.array(digests[:, 1]),
-                blobs(tokens.ravel(), np.arange(len(part) + 1) * PLACES),
+                blobs(planes.ravel(), np.arange(len(part) + 1) * 2 * PLACES),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -124,8 +129,13 @@ def signed(docs: DataFrame) -> DataFrame:
 def _child(node: Column, turn: int) -> Column:
     """The child of a node that a member belongs to, by one place of its signature."""
     place = F.pmod(F.xxhash64(node, F.lit(turn)), F.lit(PLACES)).cast("int")
-    token = F.substring(F.col("signature"), place * 2 + 1, F.lit(2))
-    return F.xxhash64(node, F.lit(turn), token)
+    lower, upper = (F.substring(F.col("signature"), place + at, F.lit(1)) for at in (1, PLACES + 1))
+    return F.xxhash64(node, F.lit(turn), F.concat(lower, upper))
+
+
+def marks() -> Column:
+    """A byte of each place of a signature; enough to compare the members of a node."""
+    return F.substring("signature", 1, PLACES)
 
 
 def _children(node: Column, similar: int) -> Column:
@@ -142,10 +152,26 @@ def least_alike(similar: int) -> int:
     return max(0, math.floor(PLACES * share - DEVIATIONS * math.sqrt(PLACES * share * (1 - share))))
 
 
+def most_within(similar: int, level: int) -> int:
+    """Members up to which a node of a level branches on within a task: 14,539 of the first level at 0.85."""
+    return max(SMALL, int(WITHIN * (similar / 100) ** (LEVELS - 1 - level)))
+
+
+def _connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first of 0 to n - 1 that each is connected to by edges a, b."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        if np.array_equal(least, label[a]) and np.array_equal(least, label[b]):
+            return label
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+
+
 def _alike(tokens: np.ndarray, found: np.ndarray, least_equal: int) -> np.ndarray:
     """The first member of its part of each group that every member is connected to."""
     sizes = np.diff(found)
-    label = np.arange(len(tokens))
     left, right = [], []
     for size in np.unique(sizes):
         at = found[:-1][sizes == size]
@@ -157,51 +183,93 @@ def _alike(tokens: np.ndarray, found: np.ndarray, least_equal: int) -> np.ndarra
             left.append(a[near])
             right.append(b[near])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    while True:
-        least = np.minimum(label[a], label[b])
-        if np.array_equal(least, label[a]) and np.array_equal(least, label[b]):
-            return label
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
+    return _connected(len(tokens), a, b)
+
 
+def _branches(tokens: np.ndarray, member: np.ndarray, node: np.ndarray, similar: int) -> tuple:
+    """The members of all children, child after child, and the children; as `_children` does over tables."""
+    whole, rest = divmod(100, similar)
+    members, children = [], []
+    for turn in range(whole + 1):
+        if turn == whole:  # one more for a share of the nodes
+            more = mix(node ^ _SALTS[1]) % np.uint64(similar) < rest
+            member, node = member[more], node[more]
+        turned = mix(node ^ mix(np.full(1, turn + 1, np.uint64)))
+        token = tokens[member, turned % np.uint64(PLACES)].astype(np.uint64)
+        members.append(member)
+        children.append(mix(turned ^ mix(token + _SALTS[0])))
+    member, node = np.concatenate(members), np.concatenate(children)
+    order = np.lexsort((member, node))
+    return member[order], node[order]
+
+
+def _alike_within(tokens: np.ndarray, node: int, levels: int, similar: int, few: int) -> np.ndarray:
+    """As `_alike` for one node, which branches on for so many levels down to nodes of a few members."""
+    least_equal = least_alike(similar)
+    member, nodes = np.arange(len(tokens)), np.full(len(tokens), node).view(np.uint64)
+    edges = [(member[:0], member[:0])]
+    for left in range(levels, -1, -1):
+        first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]])) if len(nodes) else member[:0]
+        sizes = np.diff(first, append=len(nodes))
+        small = (sizes > 1) & (sizes <= few)
+        if small.any():
+            own = member[np.repeat(small, sizes)]
+            edges.append((own[_alike(tokens[own], np.cumsum([0, *sizes[small]]), least_equal)], own))
+        large = np.repeat(sizes > few, sizes)
+        if not left:
+            edges.append((np.repeat(member[first], sizes)[large], member[large]))
+            break
+        member, nodes = _branches(tokens, member[large], nodes[large], similar)
+    return _connected(len(tokens), *(np.concatenate(x) for x in zip(*edges, strict=True)))
 
-def _small_nodes(rows: DataFrame, similar: int) -> DataFrame:
-    """Edges (a, b) between members of small nodes that their signatures connect."""
+
+def _compared_nodes(rows: DataFrame, similar: int, level: int) -> DataFrame:
+    """Edges (a, b) between members of a level's nodes that their signatures connect, from the least to others."""
     least_equal = least_alike(similar)
+    levels, few = LEVELS - 1 - level, SMALL
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, found in whole_groups(batches, ["node"]):
-            ids = table["id"].to_numpy()
-            tokens = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16)
-            label = _alike(tokens.reshape(-1, PLACES), found, least_equal)
+            ids, nodes = table["id"].to_numpy(), table["node"].to_numpy()
+            tokens = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(-1, PLACES)
+            label = np.arange(len(ids))
+            sizes = np.diff(found)
+            small = np.flatnonzero(np.repeat(sizes <= few, sizes))
+            if len(small):
+                label[small] = small[_alike(tokens[small], np.cumsum([0, *sizes[sizes <= few]]), least_equal)]
+            for at in np.flatnonzero(sizes > few):
+                a, b = found[at], found[at + 1]
+                label[a:b] = a + _alike_within(tokens[a:b], nodes[a], levels, similar, few)
             moved = np.flatnonzero(label != np.arange(len(label)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[label[moved]]), pa.array(ids[moved])], ["a", "b"]
             )
 
-    return together(rows, "node").mapInArrow(compare, "a long, b long").distinct()
+    rows = rows.repartition("node").sortWithinPartitions("node", "id")
+    return rows.mapInArrow(compare, "a long, b long")
 
 
 def candidates(nodes: DataFrame, trees: int = TREES, similar: int = SIMILAR) -> DataFrame:
     """Edges (a, b) that connect all (id, signature) whose sets should be compared."""
     rows = nodes.withColumn("node", F.explode(F.array(*(F.xxhash64(F.lit(t)) for t in range(trees)))))
+    marked = nodes.select("id", marks().alias("marks"))
     edges = []
     for level in range(LEVELS):
         rows = rows.withColumn("node", F.explode(_children(F.col("node"), similar)))
         slim = stored(rows.select("id", "node"), "branches")
-        counts = slim.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("least"))
+        counts = slim.groupBy("node").agg(F.count(F.lit(1)).alias("members"))
         # Stored, so that both sides of the join are plain shuffles and Spark can split a hot node.
-        counts = stored(counts.where("members > 1").withColumnRenamed("node", "n"), "nodes")
-        slim = slim.join(counts, F.col("node") == F.col("n")).drop("n")
-        slim = stored(slim, "members")
-        small, large = (slim.where(c).withColumnRenamed("id", "i") for c in (f"members <= {SMALL}", f"members > {SMALL}"))
-        full = lambda part: part.join(nodes, F.col("i") == F.col("id"))
-        edges.append(stored(_small_nodes(full(small).select("id", "node", "signature"), similar), "alike"))
+        counts = stored(counts.where("members > 1"), "nodes")
+        most = most_within(similar, level)
+        small, large = (counts.where(c).select("node") for c in (f"members <= {most}", f"members > {most}"))
+        edges.append(stored(_compared_nodes(slim.join(small, "node").join(marked, "id"), similar, level), "alike"))
         if large.isEmpty():
             break
+        members = slim.join(large, "node")
         if level == LEVELS - 1:
-            edges.append(large.select(F.col("least").alias("a"), F.col("i").alias("b")).distinct())
-        rows = full(large).select("id", "signature", "node")
+            least = members.groupBy("node").agg(F.min("id").alias("a"))
+            edges.append(members.join(least, "node").select("a", F.col("id").alias("b")))
+        rows = members.join(nodes, "id")
     found = edges[0]
     for more in edges[1:]:
         found = found.union(more)
@@ -215,6 +283,9 @@ def spanning_links(ids: np.ndarray, sets: np.ndarray, first: np.ndarray, similar
     as many comparisons as it has members.
     """
     sizes = np.diff(first)
+    numbers, code = np.unique(sets, return_inverse=True)
+    code = code.astype(np.int32)
+    own = np.zeros(len(numbers), bool)
     left = np.ones(len(ids), bool)
     out = []
     for begin in range(len(ids)):
@@ -224,16 +295,19 @@ def spanning_links(ids: np.ndarray, sets: np.ndarray, first: np.ndarray, similar
         reached = [begin]
         while reached:
             at = reached.pop()
-            own = sets[first[at] : first[at + 1]]
             low, high = np.minimum(sizes, sizes[at]), np.maximum(sizes, sizes[at])
             near = np.flatnonzero(left & (100 * low >= similar * high))
             if not len(near):
                 continue
             n = sizes[near]
-            starts = np.cumsum(n) - n
-            flat = sets[np.repeat(first[near] - starts, n) + np.arange(n.sum())]
-            place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-            both = np.add.reduceat((own[place] == flat).astype(np.int64), starts)
+            own[code[first[at] : first[at + 1]]] = True
+            if 2 * n.sum() > len(code):
+                both = np.add.reduceat(own[code], first[:-1], dtype=np.int64)[near]
+            else:
+                starts = np.cumsum(n) - n
+                flat = code[np.repeat(first[near] - starts, n) + np.arange(n.sum())]
+                both = np.add.reduceat(own[flat], starts, dtype=np.int64)
+            own[code[first[at] : first[at + 1]]] = False
             linked = near[100 * both >= similar * (n + sizes[at] - both)]
             left[linked] = False
             reached.extend(linked)
@@ -270,11 +344,15 @@ def _confirmed(docs: DataFrame, clusters: DataFrame, similar: int) -> DataFrame:
                 if b - a > 1:
                     flat = np.frombuffer(b"".join(shingles_[a:b]), np.uint64)
                     first = np.cumsum([0, *(len(x) // 8 for x in shingles_[a:b])])
-                    out.extend(spanning_links(ids[a:b], flat, first, similar))
-            columns = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b"])
+                    out.extend(spanning_links(np.arange(a, b), flat, first, similar))
+            links = np.array(out, np.int64).reshape(-1, 2)
+            # What is linked here is named by its least id, which a round of `components` takes up at once.
+            label = _connected(len(ids), links[:, 0], links[:, 1])
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[label[moved]]), pa.array(ids[moved])], ["a", "b"])
 
-    return together(sets, "cluster", "low", "high").mapInArrow(compare, "a long, b long").distinct()
+    key = ("cluster", "low", "high")
+    return sets.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, trees: int = TREES, similar: int = SIMILAR) -> DataFrame:
@@ -285,20 +363,30 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, similar: int = SIMILAR)
     digest = ["n_shingles", "d1", "d2"]
     sets = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*digest)
     sets = stored(sets.agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "sets")
-    clusters = components(candidates(sets.select("id", "signature"), trees, similar))
-    sizes = sets.groupBy("id").agg(F.sum("n_shingles").alias("n"))
-    named = stored(clusters.withColumnRenamed("component", "cluster").join(sizes, "id"), "clusters")
+    full = base.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", *digest)
+    ends = [f(F.struct(*digest)).alias(n) for f, n in ((F.min, "least"), (F.max, "most"))]
+    several = stored(full.groupBy("doc_id").agg(*ends).where("least <> most").select("doc_id"), "several")
+    repeated = not several.isEmpty()
+    # The trees name a set by its id, or by its digest where an id has several: its members would multiply.
+    keyed = sets.withColumn("key", F.col("id"))
+    if repeated:
+        key = F.when(F.col("s").isNull(), F.col("id")).otherwise(F.col("d1"))
+        keyed = sets.join(several.toDF("s"), F.col("id") == F.col("s"), "left").withColumn("key", key)
+        keyed = stored(keyed.select("key", "id", "n_shingles", "signature"), "keyed")
+    clusters = components(candidates(keyed.select(F.col("key").alias("id"), "signature"), trees, similar))
+    clusters = keyed.select("key", "id", "n_shingles").join(clusters.toDF("key", "cluster"), "key")
+    clusters = stored(clusters.groupBy("id", "cluster").agg(F.sum("n_shingles").alias("n")), "clusters")
     # Blocks of a cluster: as many as its bytes need, and at least one.
-    total = named.groupBy("cluster").agg(F.sum("n").alias("n"))
+    total = clusters.groupBy("cluster").agg(F.sum("n").alias("n"))
     blocks = F.ceil(F.col("n") * 8 / BLOCK_BYTES).cast("int")
     blocks = total.select(F.col("cluster").alias("c"), F.greatest(blocks, F.lit(1)).alias("blocks"))
-    named = named.join(blocks, F.col("cluster") == F.col("c")).select("id", "cluster", "blocks")
+    named = clusters.join(blocks, F.col("cluster") == F.col("c")).select("id", "cluster", "blocks")
     links = stored(_confirmed(docs, stored(named, "blocks"), similar), "links")
     # An id whose rows have different sets connects those sets.
-    labelled = base.join(sets.drop("signature"), digest)
-    labelled = labelled.select("doc_id", "id").distinct()
-    several = labelled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    found = components(links.union(labelled.join(several, "doc_id").where("doc_id <> id")))
+    if repeated:
+        labelled = full.join(several, "doc_id").join(sets.drop("signature"), digest)
+        links = links.union(labelled.select("doc_id", "id").where("doc_id <> id").distinct())
+    found = components(links)
     named = sets.drop("signature").join(found, "id", "left")
     named = named.select(*digest, F.coalesce("component", "id").alias("component"))
     rows = base.select("doc_id", *digest).join(named, digest, "left")

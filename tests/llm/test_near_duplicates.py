@@ -3,7 +3,9 @@ import random
 import numpy as np
 
 from funnelry.llm import chosen_path
+from funnelry.llm import components as graph
 from funnelry.llm.components import components
+from funnelry.llm.stores import stored
 
 
 def words_of(text):
@@ -85,6 +87,35 @@ def test_large_nodes_branch_and_blocks_meet(spark, documents, monkeypatch):
     assert ordered(found(chosen_path.near_duplicates(documents(*rows)))) == ordered(brute(rows))
 
 
+def test_nodes_branch_within_a_task_or_over_tables(spark, documents, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(variants(90, 5))] + [(200 + i, t) for i, t in enumerate(variants(9, 6))]
+    monkeypatch.setattr(chosen_path, "SMALL", 8)
+    levels = []
+    monkeypatch.setattr(chosen_path, "stored", lambda df, what: levels.append(what) or stored(df, what))
+    assert ordered(found(chosen_path.near_duplicates(documents(*rows)))) == ordered(brute(rows))
+    assert levels.count("branches") == 1  # a large group of near copies costs no shuffle for each level
+    monkeypatch.setattr(chosen_path, "WITHIN", 8)
+    assert ordered(found(chosen_path.near_duplicates(documents(*rows)))) == ordered(brute(rows))
+    assert levels.count("branches") > 2
+
+
+def test_members_of_one_node_are_connected_as_compared():
+    pick = np.random.default_rng(4)
+    base = pick.integers(0, 1 << 16, (3, chosen_path.PLACES), dtype=np.uint16)
+    tokens = base[np.arange(600) % 3]
+    for few in (2, chosen_path.SMALL, 600):
+        label = chosen_path._alike_within(tokens, -5, chosen_path.LEVELS - 1, 85, few)
+        assert np.array_equal(label, np.arange(600) % 3)
+
+
+def test_components_that_see_their_least_id_take_one_round(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(graph, "stored", lambda df, what: steps.append(what) or stored(df, what))
+    edges = spark.createDataFrame([(k, k + 100 * j) for k in range(9) for j in range(1, 9)], "a long, b long")
+    assert {(r.id, r.component) for r in components(edges).collect()} == {(k + 100 * j, k) for k in range(9) for j in range(9)}
+    assert steps.count("step") == 1
+
+
 def test_copies_and_no_rows(spark, documents):
     rows = [(i, "the same six words every time") for i in range(500)]
     result = chosen_path.near_duplicates(documents(*rows)).collect()
@@ -106,6 +137,13 @@ def test_id_with_three_texts_joins_all(spark, documents):
     assert {r.component_id for r in result} == {1} and [r.doc_id for r in result if r.kept] == [1]
 
 
+def test_id_with_many_near_texts(spark, documents):
+    texts = list(variants(40, 8, 60, 9))
+    rows = [(5, t) for t in texts[:30]] + [(k, t) for k, t in enumerate(texts[30:], 1) if k != 5]
+    result = [(r.doc_id, r.component_id) for r in chosen_path.near_duplicates(documents(*rows)).collect()]
+    assert sorted(result) == sorted((i, c) for i, _, c in brute(rows))
+
+
 def test_equal_places_follow_the_bound():
     assert [chosen_path.least_alike(s) for s in (85, 80, 50, 10)] == [41, 36, 14, 0]
 
@@ -121,6 +159,19 @@ def test_spanning_links_are_few():
     assert len(links) == 199
 
 
+def test_links_connect_what_all_pairs_connect():
+    pick = np.random.default_rng(2)
+    base = pick.choice(10**6, 60, replace=False)
+    sets = [np.unique(np.concatenate([base[: pick.integers(40, 61)], pick.choice(10**6, pick.integers(0, 9))])) for _ in range(80)]
+    flat, first = np.concatenate(sets).astype(np.uint64), np.cumsum([0, *map(len, sets)])
+    both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    sizes = np.diff(first)
+    i, j = np.nonzero(100 * both >= 85 * (sizes[:, None] + sizes - both))
+    links = np.array(chosen_path.spanning_links(np.arange(80), flat, first, 85))
+    label = chosen_path._connected(80, *links.T)
+    assert np.array_equal(label, chosen_path._connected(80, i, j)) and 1 < len(set(label)) == 80 - len(links) < 80
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(8, 40)] + [(50, 50), (None, 1)]
     result = components(spark.createDataFrame(edges, "a long, b long")).collect()
