@@ -81,7 +81,8 @@ def targets(sizes: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFr
         level = left / rest
     if capped < 0:
         return sources.withColumn("target", F.lit(0.0))
-    fair = (F.col("weight") * F.lit(left)).cast("double") / F.lit(rest)
+    # As longs: a number of words that fits into an integer would be one, and its product might not fit.
+    fair = (F.col("weight").cast("long") * F.lit(left)).cast("double") / F.lit(rest)
     return sources.withColumn("target", F.when(above, cap.cast("double")).otherwise(fair))
 
 

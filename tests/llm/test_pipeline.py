@@ -82,6 +82,18 @@ def test_stages_take_odd_tables(spark, folder):
     assert ordinal.accepted(odd, None).count() == 3
 
 
+def test_mix_of_more_words_times_weight_than_an_integer_holds(spark, folder, monkeypatch):
+    """The shares of 2**28 times the weights are the same; their products with the words are as large as those of some GB."""
+    path, _, _ = folder
+    docs = queries.table(spark, path, "documents")
+    _, mix = corpus_pipeline.STAGES[-1]
+    expected = sorted(map(str, mix(spark, docs, path).collect()))
+    mixed = mixing.mixed_documents
+    large = [w << 28 for w in mixing.WEIGHTS]
+    monkeypatch.setattr(mixing, "mixed_documents", lambda docs: mixed(docs, weights=large))
+    assert sorted(map(str, mix(spark, docs, path).collect())) == expected and expected
+
+
 def test_near_copies_from_four_fifths_on(spark, folder):
     """Pairs of 200 shingles, of which a changed end leaves just 0.80 to 0.85, and just less than 0.80."""
     words = lambda i, n: [f"p{i}w{k}" for k in range(n)]
