@@ -73,6 +73,22 @@ def test_scarce_sources_are_capped(spark, documents):
     assert (found[0].target, found[0].taken, found[50].target, found[50].taken) == (30.0, 30, 21.0, 21)
 
 
+@pytest.mark.parametrize("times", [1, 4_000_000, 15_000_000])
+def test_targets_of_many_words(spark, times):
+    """Words of some GB fit into 32 bits, their product with a weight does not; both are beyond at the last size."""
+    sizes = {"a": 200 * times, "b": 90 * times, "c": times, "d": 30 * times, None: 7 * times}
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    found = {r.source: r.target for r in mixing.targets(table, mixing.WEIGHTS, mixing.MAX_EPOCHS).collect()}
+    assert found == pytest.approx(water(sizes))
+
+
+def test_report_of_more_words_times_weight_than_an_integer_holds(spark, documents, duck, same):
+    """2**28 times the weights deal out the same shares, over products as large as those of tables of some GB."""
+    docs = documents(*corpus(4))
+    found = mixing.mixed_report(docs, weights=[w << 28 for w in mixing.WEIGHTS])
+    same(found, duck(oracles.OP10, documents=docs))
+
+
 def test_taken_documents_have_their_columns(spark, documents):
     docs = documents((0, "x " * 10, "a"), (1, "y " * 1000, "b"), (2, "y z " * 500, "b"))
     mixed = mixing.mixed_documents(docs)
